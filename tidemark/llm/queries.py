@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, langid, packing, token_counts, token_files
+from . import ann, bpe_codec, fingerprints, langid, packing, sharding, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,22 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(documents(spark, sf_dir), WORD_BPE)
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.hilbert_shards(documents(spark, sf_dir), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve_index")
+    )
+
+
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.sensitivity(documents(spark, sf_dir))
+
+
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), BYTE_BPE, limit=512)
 
@@ -40,7 +57,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op6_token_counts, op7_token_files, op8_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op3_hilbert_shards, op4_canonical_digest, op5_hnsw, op6_token_counts, op7_token_files, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
