@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, fingerprints, jaccard, langid, packing, sharding, token_counts, token_files
+from . import ann, bpe_codec, fingerprints, jaccard, langid, packing, quality, sharding, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,8 +60,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), words=5, percent=75)
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, quality.fit(docs, ratings), min_tail=0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op3_hilbert_shards, op4_canonical_digest, op5_hnsw, op6_token_counts, op7_token_files, op8_packing, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op3_hilbert_shards, op4_canonical_digest, op5_hnsw, op6_token_counts, op7_token_files, op8_packing, op9_jaccard_join, op10_ordinal_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
