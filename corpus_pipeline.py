@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that are probably not of the top grade (low quality or toxic)."""
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.selected(docs, quality.fit(docs, ratings), min_tail=0.5)
+    return quality.selected(docs, quality.fit(docs, ratings), min_tail=0.8)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from .common import blocks, over_batches, text_list
 BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+SAMPLE_PARTS = 16
 
 
 @lru_cache(maxsize=1)
@@ -68,18 +69,19 @@ def train(labelled: DataFrame, sample_per_language: int = 2_000) -> tuple[list[s
     """Languages and their log-probability matrix (float32, buckets x languages).
 
     ``labelled`` has ``doc_id, text, lang``; rows without language or text are left out. For each
-    language the rows of smallest hash of doc_id are used, up to the bound (rows that
-    share a doc_id count together).
+    language the rows of smallest hash of doc_id in each of ``SAMPLE_PARTS`` parts are used, up to
+    the bound in all (rows that share a doc_id count together).
     """
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     order = F.xxhash64("doc_id")
-    ranked = rows.select("lang", order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    last = ranked.where(F.col("k") <= sample_per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    languages = sorted(r["lang"] for r in last)
+    part = F.pmod(order, F.lit(SAMPLE_PARTS)).cast("int")
+    ranked = rows.select("lang", part.alias("part"), order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h")))
+    last = ranked.where(F.col("k") <= max(1, sample_per_language // SAMPLE_PARTS)).groupBy("lang", "part").agg(F.max("h").alias("h")).collect()
+    languages = sorted({r["lang"] for r in last})
     if not languages:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    upto = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["h"])])
-    sample = rows.where(order <= upto[F.col("lang")]).repartition(8)
+    upto = F.create_map(*[F.lit(x) for r in last for x in (f"{r['part']} {r['lang']}", r["h"])])
+    sample = rows.where(order <= upto[F.concat_ws(" ", part.cast("string"), F.col("lang"))]).repartition(8)
 
     def start():
         def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

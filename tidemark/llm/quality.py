@@ -1,6 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text's features are its distinct lower-case words and marks and a few coarse shape
+Weights are not positive: a feature can only speak against a text, so that much ordinary text
+does not outweigh a few bad words. A text's features are its distinct lower-case words and marks and a few coarse shape
 features, hashed into a fixed number of buckets. One weight vector is shared by all
 grades; ordered thresholds ``t_1 < t_2 < ...`` give ``P(grade >= j) = 1 / (1 + exp(t_j - w x))``,
 from which the expected grade and the tail probability used for selection follow.
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import over_batches, text_list
 
 BITS = 18
-#: Buckets that occur in fewer rated texts get no weight.
-LEAST_TEXTS = 6
+#: Only buckets that occur in so many rated texts, and whose mean grade lies so many standard errors
+#: from the mean of all, get a weight; the others would only fit chance.
+LEAST_TEXTS, LEAST_ERRORS = 4, 4.0
 _PIECES = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -52,13 +54,16 @@ class Ordinal:
     thresholds: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 300, penalty: float = 2e-3) -> Ordinal:
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 300, penalty: float = 2e-4) -> Ordinal:
         """Maximum likelihood with a squared penalty, by Adam over all rows. Thresholds stay
         ordered because the steps between them are exponentials."""
         size = np.fromiter(map(len, rows), np.int64, len(rows))
-        index = np.concatenate([*rows, np.zeros(0, np.int64)])
+        index = np.concatenate([*rows, np.zeros(0, np.int32)])
         seen = np.bincount(index, minlength=1 << BITS)
-        used = np.flatnonzero(seen >= min(LEAST_TEXTS, max(1, len(rows) // 4)))
+        of_bucket = np.bincount(index, weights=np.repeat(grades, size), minlength=1 << BITS)
+        spread = grades.std() / np.sqrt(np.maximum(seen, 1)) if len(grades) else np.ones(1 << BITS)
+        apart = np.abs(of_bucket / np.maximum(seen, 1) - (grades.mean() if len(grades) else 0)) >= LEAST_ERRORS * spread
+        used = np.flatnonzero((seen >= min(LEAST_TEXTS, max(1, len(rows) // 4))) & apart)
         place = np.full(1 << BITS, -1)
         place[used] = np.arange(len(used))
         row, col = np.repeat(np.arange(len(rows)), size), place[index]
@@ -85,6 +90,7 @@ class Ordinal:
             g = np.concatenate((np.bincount(col, weights=g_score[row], minlength=len(used)) + penalty * x[: len(used)] / 10, [g_cut.sum()], [g_cut[j:].sum() * np.exp(x[len(used) + j]) for j in range(1, k)]))
             mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
             x = x - 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+            x[: len(used)] = np.minimum(x[: len(used)], 0)
         weights = np.zeros(1 << BITS, np.float32)
         weights[used] = x[: len(used)]
         return cls(weights, x[len(used)] + np.concatenate(([0], np.cumsum(np.exp(x[len(used) + 1 :])))))
@@ -103,7 +109,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 12_000) -> Ordinal | None:
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 16_000) -> Ordinal | None:
     """Fits on the rows of ``docs`` that ``ratings`` (``doc_id, grade``) grade, of these on the
     ``sample_rows`` ratings of smallest hash; None if there are none."""
     sample = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -119,12 +125,15 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int
     got = rated.mapInArrow(over_batches(start), "grade int, features array<int>").toArrow()
     if not got.num_rows:
         return None
-    order = np.argsort([zlib.crc32(repr(x).encode()) for x in got.column("features").to_pylist()], kind="stable")  # the same for any order of rows
-    lists = got.column("features").to_pylist()
-    return Ordinal.fit([np.array(lists[i], np.int64) for i in order], got.column("grade").to_numpy()[order].astype(np.int64), n_grades)
+    lists = got.column("features").combine_chunks()
+    flat, bound = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    rows = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    order = sorted(range(len(rows)), key=lambda i: (grades[i], rows[i].tobytes()))  # the same for any order of rows
+    return Ordinal.fit([rows[i] for i in order], grades[order], n_grades)
 
 
-def score(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.8) -> DataFrame:
     """``doc_id, expected_grade, tail_probability, keep`` for each row: the probability of the top grade, kept
     from ``min_tail`` on. A text without words has grade 0 and is not kept; without
     a model the figures are null and every row is kept."""
@@ -149,7 +158,7 @@ def score(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.5) -> Data
     return docs.select("doc_id", "text").mapInArrow(over_batches(start), f"doc_id {kind}, expected_grade double, tail_probability double, keep boolean")
 
 
-def selected(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.5) -> DataFrame:
+def selected(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with all columns and without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

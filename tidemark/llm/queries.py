@@ -63,7 +63,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, quality.fit(docs, ratings), min_tail=0.5)
+    return quality.score(docs, quality.fit(docs, ratings), min_tail=0.8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
