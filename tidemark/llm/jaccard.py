@@ -4,7 +4,8 @@
     the sorted shingle hashes; digests that share a key are told apart).
 2.  Shingles are ordered by how common they are (counts of hash buckets over all
     documents, a table of fixed size) and a set's prefix in that order is dealt out:
-    two sets that link share a shingle of both prefixes, whatever the order.
+    two sets that link share a number of shingles of both prefixes, whatever the order.
+    Keys that share fewer with all others together are left out.
 3.  In each prefix group the member that shares most with others leads. Every
     key is compared exactly with the leader that it meets most often, and linked keys are
     contracted, so that large groups of copies need no pairs.
@@ -38,6 +39,8 @@ BUCKET_BITS, SLICES = 20, 64
 FILTER_BITS = 21
 BITMAP_BITS = 2048
 LEAF, FAN = 48, 8
+#: Prefixes are longer by one in so many shingles, and linked sets then share as many shingles of both prefixes.
+SHARED = 16
 #: Rows of a prefix group that one task compares; larger groups are compared by pairs of blocks.
 GROUP_ROWS = 6_000
 LEADER_PARTS = 16
@@ -201,7 +204,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray, cl
 
     def rows_of(key: int, hashes: np.ndarray, _: bytes):
         n = len(hashes)
-        p = n - -(-n * percent // 100) + 1 if n > 1 else 0  # a single shingle links with its equals only
+        p = n - -(-n * percent // 100) + max(1, n // SHARED) if n > 1 else 0  # a single shingle links with its equals only
         common = shared.value[hashes >> np.uint64(64 - BUCKET_BITS)]
         chosen = hashes[np.argsort(common, kind="stable")[:p]].view(np.int64)
         return chosen, np.full(p, key), np.full(p, n)
@@ -442,8 +445,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     classes, clashes = _classes(survey), _key_clashes(rows)
     met = _prefixes(docs, words, percent, classes, clashes)
     group = Window.partitionBy("token")
-    met = met.withColumn("low", F.min("key").over(group)).withColumn("high", F.max("key").over(group)).withColumn("size", F.count("*").over(group))
-    met = saved(met.where("low <> high").select("token", "key", "n", "size"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        each = rows.withColumn("low", F.min("key").over(group)).withColumn("high", F.max("key").over(group)).withColumn("size", F.count("*").over(group))
+        return saved(each.where("low <> high").select("token", "key", "n", "size"))
+
+    met = shared(met)
+    need = F.greatest(F.lit(1), F.expr(f"cast(ceil({percent} * n / 100.0) as long) div {SHARED}"))
+    for _ in range(2):
+        # a partner has at least percent % of n shingles, and so shares as many as such a prefix is longer
+        enough = met.groupBy("key", "n").agg(F.countDistinct("token").alias("tokens")).where(F.col("tokens") >= need).select("key")
+        met = shared(met.select("token", "key", "n").join(enough, "key", "left_semi"))
 
     score = met.groupBy("key").agg(F.sum("size").alias("score"))
     ranked = met.join(score, "key").withColumn("lead", F.max(F.struct("score", "key", "n")).over(group))
