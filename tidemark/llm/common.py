@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a task; bounds the numpy scratch memory.
 BLOCK_CHARS = 1_500_000
@@ -61,3 +63,23 @@ def over_batches(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.Recor
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+class Members:
+    """A bit for each remainder of 64-bit keys: tells for sure which keys are not among those given.
+
+    Its size does not depend on the keys: with very many it lets more through, never less.
+    """
+
+    BITS = 21
+
+    def __init__(self, keys: DataFrame, name: str = "key"):
+        spot = F.pmod(F.col(name), F.lit(1 << self.BITS))
+        cells = keys.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({name}, {1 << self.BITS}) & 63 as int))").alias("bit"))
+        self.words = np.zeros(1 << self.BITS - 6, np.int64)
+        for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+            self.words[r["cell"]] = r["bits"]
+
+    def may_hold(self, key: int) -> bool:
+        at = key % (1 << self.BITS)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_tasks, over_batches, saved, text_list
+from .common import Members, input_tasks, over_batches, saved, text_list
 
 
 def canonical(text: str) -> bytes:
@@ -45,24 +45,42 @@ class Fingerprinter:
         return name
 
 
+def _key(digest: str) -> int:
+    return int(digest[:15], 16)
+
+
 def shared_digests(docs: DataFrame, bits: int = 128) -> dict[str, list[bytes]]:
     """Hashes that belong to more than one canonical text, with these texts in order.
 
-    Each batch sends each of its distinct canonical texts once (compressed), grouped by
-    hash and bytes, so a large group of copies is small before the shuffle. With 128
-    bits the result is empty for any corpus one can expect; it alone goes to the driver.
+    First the keys of hashes are counted, each once a batch, so that a large group of copies is
+    small before the shuffle; then only texts whose key came from several batches are sent
+    (compressed) and grouped by hash and bytes. With 128 bits the result is empty for any corpus one can
+    expect; it alone goes to the driver.
     """
+    name = Fingerprinter({}, bits).digest
 
-    def start():
-        name, small = Fingerprinter({}, bits).digest, zstandard.ZstdCompressor(level=1)
-
+    def keys_of():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             own = {canonical(t) for t in set(text_list(batch))}
-            yield pa.RecordBatch.from_pydict({"digest": [name(x) for x in own], "body": [small.compress(x) for x in own]})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([_key(name(x)) for x in own], pa.int64())})
+
+        return step
+
+    texts = docs.select("text")
+    repeated = texts.mapInArrow(over_batches(keys_of), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(Members(repeated))  # of fixed size
+
+    def bodies_of():
+        small = zstandard.ZstdCompressor(level=3)
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            own = [(name(x), x) for x in {canonical(t) for t in set(text_list(batch))}]
+            own = [(n, small.compress(x)) for n, x in own if shared.value.may_hold(_key(n))]
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([n for n, _ in own], pa.string()), "body": pa.array([x for _, x in own], pa.binary())})
 
         return step
 
-    bodies = docs.select("text").mapInArrow(over_batches(start), "digest string, body binary").groupBy("digest", "body").agg(F.count("*").alias("n"))
+    bodies = texts.mapInArrow(over_batches(bodies_of), "digest string, body binary").groupBy("digest", "body").agg(F.count("*").alias("n"))
     several = bodies.groupBy("digest").agg(F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).where("n > 1").select("digest")
     out: dict[str, list[bytes]] = {}
     if names := [r["digest"] for r in several.collect()]:
@@ -107,7 +125,7 @@ def sensitivity(docs: DataFrame, bits: int = 128) -> DataFrame:
     shared = shared_digests(docs, bits)
 
     def shrink():
-        of, small = Fingerprinter(shared, bits), zstandard.ZstdCompressor(level=1)
+        of, small = Fingerprinter(shared, bits), zstandard.ZstdCompressor(level=4)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = text_list(batch)

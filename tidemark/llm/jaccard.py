@@ -31,12 +31,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, over_batches, saved
+from .common import Members, blocks, over_batches, saved
 
 #: Hash buckets whose document counts order the shingles, and the parts in which they are summed.
 BUCKET_BITS, SLICES = 20, 64
-#: Bits of the filter that spares most documents without candidates a shuffle.
-FILTER_BITS = 21
 BITMAP_BITS = 2048
 LEAF, FAN = 48, 8
 #: Prefixes are longer by one in so many shingles, and linked sets then share as many shingles of both prefixes.
@@ -214,16 +212,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray, cl
 
 def _bodies(docs: DataFrame, words: int, wanted: DataFrame, clashes: dict[bytes, int]) -> DataFrame:
     """``key, body`` (compressed text) of the sets whose keys are ``wanted``."""
-    spot = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
-    held = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    cells = wanted.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(key, {1 << FILTER_BITS}) & 63 as int))").alias("bit"))
-    for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        held[r["cell"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    shared = docs.sparkSession.sparkContext.broadcast(Members(wanted))  # of fixed size
 
     def rows_of(key: int, _: np.ndarray, text: bytes):
-        at = key % (1 << FILTER_BITS)
-        if int(shared.value[at >> 6]) >> (at & 63) & 1:
+        if shared.value.may_hold(key):
             return np.array([key]), np.array([zstandard.compress(text, 1)], object)
         return np.zeros(0, np.int64), np.zeros(0, object)
 
