@@ -19,6 +19,9 @@ ODD = [
 ]
 
 
+ENCODERS = {(path, automaton): bpe.TextEncoder(path, automaton) for path in (WORD, BYTE) for automaton in (False, True)}
+
+
 def want(path, text):
     return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
@@ -34,16 +37,15 @@ def docs(spark):
 @pytest.mark.parametrize("automaton", [False, True])
 def test_encoders_equal_the_library(path, automaton):
     texts = [t or "" for t in ODD]
-    ids, bound = bpe.TextEncoder(path, automaton).encode(texts)
+    ids, bound = ENCODERS[path, automaton].encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [want(path, t) for t in texts]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdeèßñ thing'sll 123\n\t _-.,!<|>ΣİÅ漢🎉́ "), max_size=60))
 def test_encoders_equal_the_library_on_any_text(text):
-    for path in (WORD, BYTE):
-        for automaton in (False, True):
-            assert bpe.TextEncoder(path, automaton).encode([text])[0].tolist() == want(path, text)
+    for (path, _), encoder in ENCODERS.items():
+        assert encoder.encode([text])[0].tolist() == want(path, text)
 
 
 def test_gadgets_decide_arcs():
