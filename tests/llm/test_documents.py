@@ -149,7 +149,7 @@ def test_neighbours_of_small_and_odd_tables(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(90)]
     rows += [(100 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(60)]  # one common vector
-    rows += [(200, None), (220, [0.0] * 4), (240, [float("nan")] * 4), (260, [1.0, None, 0.0, 0.0]), (280, []), (300, [1.0, 2.0]), (301, [2.0, 1.0])]
+    rows += [(200, None), (220, [0.0] * 4), (240, [float("nan")] * 4), (260, [1.0, None, 0.0, 0.0]), (280, []), *[(300 + i, [1.0 + i, 2.0]) for i in range(3)], *[(320 + i, [2.0, 1.0, float(i)]) for i in range(22)]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
     out = defaultdict(list)
     for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():

@@ -223,20 +223,23 @@ def build_index(points: DataFrame, shards: int) -> DataFrame:
 
 def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = own = x = None
+        graph = own = x = loaded = None
         for batch in batches:
             kind = np.array(batch.column("kind").to_pylist())
-            cut = [0, *(np.flatnonzero((kind == 0) | np.append(False, kind[1:] != kind[:-1])).tolist()), len(kind)]
+            group = np.stack([np.array(batch.column(c).to_pylist()) for c in ("dim", "shard", "part")], 1)
+            cut = [0, *(np.flatnonzero((kind == 0) | np.append(False, (group[1:] != group[:-1]).any(1) | (kind[1:] != kind[:-1]))).tolist()), len(kind)]
             for lo, hi in zip(cut, cut[1:], strict=False):
                 if lo == hi:
                     continue
+                key = tuple(group[lo].tolist())
                 if kind[lo] == 0:
+                    loaded = key
                     r = batch.slice(lo, 1).to_pylist()[0]
                     own, x = np.array(r["nodes"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"])
                     graph = Graph(_level(x))
                     graph.layers = [(np.frombuffer(m, np.int32), np.frombuffer(a, np.int32).reshape(len(m) // 4, -1)) for m, a in zip(r["members"], r["links"], strict=True)]
                     continue
-                if graph is None:  # no candidate has so many dimensions
+                if key != loaded:  # no vector of this length is in the shard
                     continue
                 for at in range(lo, hi, STEP):
                     part = batch.slice(at, min(STEP, hi - at))
