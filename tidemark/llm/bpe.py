@@ -24,7 +24,7 @@ NONE = np.int32(2**31 - 1)
 #: Pre-tokens with more symbols are encoded one by one.
 LONG = 40
 #: Distinct chunks remembered by a task before it starts afresh.
-REMEMBERED = 350_000
+REMEMBERED = 400_000
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The fast patterns run over many chunks joined by NUL, which they give as a match of its own.
@@ -340,6 +340,19 @@ class MergeAutomaton:
         return ok
 
 
+class Codes(dict):
+    """Numbers keys in order of appearance; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
+
+
 class TextEncoder:
     """Encodes blocks of whole texts just as ``tokenizers`` does without added special tokens.
 
@@ -352,11 +365,11 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict = {}
+        self.code = Codes()
         self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         special = list(self.v.special.items())
-        for k, (_, i) in enumerate(special):
-            self.code[(i, "special")] = k
+        for _, i in special:
+            self.code[i, "special"]
         self.ids = np.array([i for _, i in special], np.int32)
         self.start, self.size = np.arange(len(special), dtype=np.int64), np.ones(len(special), np.int32)
 
@@ -384,24 +397,29 @@ class TextEncoder:
         out[0] = (out[0], "first")
         return out
 
-    def _split(self, new: list) -> tuple[list, list[str], np.ndarray]:
-        """The chunks in another order, their pre-tokens one after another, and the number for each chunk."""
+    def _split(self, new: list) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The places of the chunks in another order, their pre-tokens one after another in it, and the number for each."""
         word = self.v.kind == "word"
         shown = new if word else [c[0] if isinstance(c, tuple) else " " + c for c in new]
-        usual, odd = [], []
-        for c, x in zip(new, shown, strict=True):
-            (odd if _UNUSUAL.search(x) else usual).append((c, x))
-        flat = (_WORD_FAST if word else _BYTE_FAST).findall("\0".join([x for _, x in usual]))
+        unusual = _UNUSUAL.search
+        odd = [i for i, x in enumerate(shown) if unusual(x)]
+        order = np.arange(len(new))
+        usual = shown
+        if odd:
+            plain = np.ones(len(new), bool)
+            plain[odd] = False
+            order = np.concatenate((order[plain], odd))
+            usual = [shown[i] for i in order[: len(new) - len(odd)].tolist()]
+        flat = (_WORD_FAST if word else _BYTE_FAST).findall("\0".join(usual))
         cuts = np.array([-1, *(i for i, p in enumerate(flat) if p == "\0"), len(flat)])
         per = np.diff(cuts)[: len(usual)] - 1
         flat = [p for p in flat if p != "\0"]
-        rest = [(_WORD_FULL if word else _BYTE_FULL).findall(x) for _, x in odd]
+        rest = [(_WORD_FULL if word else _BYTE_FULL).findall(shown[i]) for i in odd]
         flat += [p for x in rest for p in x]
-        per = np.concatenate((per, np.fromiter(map(len, rest), np.int64, len(rest))))
-        return [c for c, _ in usual] + [c for c, _ in odd], flat, per
+        return order, flat, np.concatenate((per, np.fromiter(map(len, rest), np.int64, len(rest))))
 
     def _learn(self, new: list) -> None:
-        new, pieces, per = self._split(new)
+        order, pieces, per = self._split(new)
         own: dict[str, int] = {}
         flat = np.array([own.setdefault(p, len(own)) for p in pieces], np.int64)
         ids, size = self.words.encode([p.encode("utf-8", "surrogatepass") for p in own])
@@ -409,21 +427,20 @@ class TextEncoder:
         total = np.concatenate(([0], np.cumsum(size[flat], dtype=np.int64))) if len(flat) else np.zeros(1, np.int64)
         end = np.cumsum(per)
         n = (total[end] - total[end - per]).astype(np.int32)
-        base = len(self.code)
-        self.code.update(zip(new, range(base, base + len(new)), strict=True))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(n, dtype=np.int64) - n))
+        begin, length = np.empty(len(new), np.int64), np.empty(len(new), np.int32)
+        begin[order], length[order] = len(self.ids) + np.cumsum(n, dtype=np.int64) - n, n
+        self.start, self.size = np.concatenate((self.start, begin)), np.concatenate((self.size, length))
         self.ids = np.concatenate((self.ids, ids[gather(flat, start, size)] if len(flat) else ids[:0]))
-        self.size = np.concatenate((self.size, n))
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks = [self._chunks(t) for t in texts]
         if len(self.code) > REMEMBERED:
             self._forget()
-        new = set().union(*chunks).difference(self.code) if chunks else set()
-        if new:
-            self._learn(list(new))
+        self.code.new.clear()
         per = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(chunks)), np.int64, int(per.sum()))
+        if self.code.new:
+            self._learn(self.code.new)
         return codes, per
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
