@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, langid, packing, quality
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, small_batches
 from tidemark.llm.queries import BYTE_BPE
 
 #: Removed ids of at most so many rows (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -21,11 +21,13 @@ BROADCAST_ROWS = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents whose language is not recognised: null or without letters, or of low score."""
+    small_batches(spark)
     return langid.accepted(docs, min_score=0.5)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that are probably not of the top grade (low quality or toxic)."""
+    small_batches(spark)
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.selected(docs, quality.fit(docs, ratings), min_tail=0.8)
 
@@ -33,6 +35,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document of smallest doc_id, and of rows that repeat one
     doc_id and text a single one."""
+    small_batches(spark)
     groups = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
@@ -46,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of 1,024."""
+    small_batches(spark)
     return packing.pack_documents(docs, BYTE_BPE, end_id=0, width=1024)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a task; bounds the numpy scratch memory.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
+#: Rows of a batch that goes to Python at once.
+BATCH_ROWS = 2_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -29,6 +31,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that this session sends to Python, as whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def input_tasks(spark: SparkSession, df: DataFrame) -> int:
     """Partitions for a shuffle of whole rows of ``df``: as many as its scan has, at least
     the session's shuffle partitions."""

@@ -74,7 +74,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.nda
     gap = _SPACE[raw]
     before = np.concatenate(([True], gap[:-1]))
     start, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-    power, inverse = _powers(max(22, int(len(raw)).bit_length()))
+    power, inverse = _powers(max(20, int(len(raw)).bit_length()))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])))
     word = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     first = np.searchsorted(start, np.cumsum(size) - size)  # of each text's words
