@@ -20,7 +20,9 @@ def study_mc(pool: DataFrame, definitions: dict[str, str], n_studies: int = 200,
     # ranks within a cohort: one number a participant, by hash
     people = people.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(C.stable_hash(seed, F.lit("rank"), "participant_id"), "participant_id")) - 1)
     cohorts = people.groupBy(*key).agg(F.count("*").alias("total")).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= total")
-    studies = cohorts.withColumn("study_id", F.explode(F.sequence(F.lit(1), F.lit(n_studies))))
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few rows that become many are dealt out
+    study = [*key, "n", "study_id"]
+    studies = cohorts.withColumn("study_id", F.explode(F.sequence(F.lit(1), F.lit(n_studies)))).repartition(parts, *study)
     small = F.col("n") * 4 > F.col("total")
     drawn = studies.where(~small).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n") * 2 + 20)))
     drawn = drawn.withColumn("rank", F.pmod(C.stable_hash(seed, F.lit("draw"), *key, "n", "study_id", "slot"), F.col("total")).cast("int"))
@@ -34,9 +36,11 @@ def study_mc(pool: DataFrame, definitions: dict[str, str], n_studies: int = 200,
     nth = Window.partitionBy(*key, "participant_id").orderBy("window_seq")
     numbered = pool.withColumn("seq", F.row_number().over(nth)).select(*key, "participant_id", "seq", *definitions.values())
     rows = chosen.withColumn("seq", seq.cast("int")).join(numbered, [*key, "participant_id", "seq"])
-    pairs = ", ".join(f"'{k}', {v}" for k, v in definitions.items())
-    long = rows.select(*key, "n", "study_id", F.expr(f"stack({len(definitions)}, {pairs}) as (definition, label)"))
-    agg = long.groupBy(*key, "n", "study_id", "definition").agg(F.count("label").alias("n_classifiable"), F.count_if(F.coalesce("label", F.lit(False))).alias("positives"))
+    # counted side by side and stacked after, so that no row is multiplied by the definitions
+    counts = [x for i, v in enumerate(definitions.values()) for x in (F.count(v).alias(f"_n{i}"), F.count_if(F.coalesce(v, F.lit(False))).alias(f"_p{i}"))]
+    wide = rows.select(*study, *definitions.values()).repartition(parts, *study).groupBy(*study).agg(*counts)
+    triples = ", ".join(f"'{k}', _n{i}, _p{i}" for i, k in enumerate(definitions))
+    agg = wide.select(*study, F.expr(f"stack({len(definitions)}, {triples}) as (definition, n_classifiable, positives)"))
     return agg.withColumnRenamed("n", "n_participants").withColumn("prevalence_all", F.col("positives") / F.col("n_participants")).withColumn("prevalence_classifiable", F.try_divide("positives", "n_classifiable"))
 
 
@@ -46,7 +50,8 @@ def bootstrap_by_participant(df: DataFrame, partials: dict[str, Column], statist
     people = df.groupBy("participant_id").agg(*[F.sum(c).alias(k) for k, c in partials.items()])
     ranked = people.withColumn("rank", F.row_number().over(Window.orderBy(C.stable_hash(seed, "participant_id"), "participant_id")) - 1)  # one row a participant
     total = people.agg(F.count("*").alias("total"))
-    slots = total.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("total").cast("int")))).where("total > 0")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = total.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).repartition(parts, "replicate").withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("total").cast("int")))).where("total > 0")
     draws = slots.withColumn("rank", F.pmod(C.stable_hash(seed, F.lit("boot"), "replicate", "slot"), F.col("total")).cast("int")).groupBy("replicate", "rank").agg(F.count("*").alias("times"))
     joined = draws.join(ranked, "rank")
     return joined.groupBy("replicate").agg(*[F.sum(F.col(k) * F.col("times")).alias(k) for k in partials]).select("replicate", statistic.alias("statistic"))

@@ -379,8 +379,7 @@ def stable_hash(spark, sf):
 
 @query()
 def study_mc(spark, sf):
-    chosen = {k: v for k, v in S.DEFINITIONS.items() if k in ("A_windowed_any", "A_windowed_C1_or_C2", "B_minimum_data_any")}
-    return R.study_mc(T.pool(spark, sf), chosen, n_studies=200, sizes=(10, 30))
+    return T.studies(spark, sf)
 
 
 _BOOT = f"""
@@ -395,6 +394,12 @@ def bootstrap(spark, sf):
     return R.bootstrap_by_participant(T.daily(spark, sf), parts, F.col("e") / F.col("d")).select("replicate", r6("statistic"))
 
 
+@query(DAY + "," + _BOOT.replace("generate_series(1, 100)", "generate_series(1, 1000)") + " SELECT replicate::INT AS replicate, round(sum(e)::DOUBLE / sum(d), 6) AS statistic FROM bs JOIN bp USING (rank) GROUP BY 1")
+def bootstrap_1000(spark, sf):
+    parts = {"e": F.col("seizure_count"), "d": F.lit(1)}
+    return R.bootstrap_by_participant(T.daily(spark, sf), parts, F.col("e") / F.col("d"), n=1000).select("replicate", r6("statistic"))
+
+
 @query(_PART + f""", s AS (SELECT participant_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY {Q.sha('participant_id')}, participant_id) AS r FROM people)
 SELECT participant_id, cohort FROM s WHERE r <= CASE cohort WHEN 'healthy_ovulatory' THEN 4 ELSE 3 END""")
 def quota_sample(spark, sf):

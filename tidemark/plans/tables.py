@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import definitions as X
 from ..operators import diary as D
 from ..operators import glm as G
+from ..operators import resample as R
+from ..operators import summaries as S
 from ..operators import windows as W
 from . import diary as P
 
@@ -89,6 +91,12 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "pool", make)
 
 
+def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 simulated studies of each size under every definition; D has no label on three months and counts none."""
+    columns = S.DEFINITIONS.values()
+    return written(spark, sf_dir, "studies", lambda s, d: R.study_mc(S.with_missing(pool(s, d), columns), S.DEFINITIONS, n_studies=10_000, sizes=(30, 50, 100)))
+
+
 def cycle_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a cycle with age and bleeding days."""
     return daily(spark, sf_dir).groupBy("participant_id", "cycle_id").agg(
