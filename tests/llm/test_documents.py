@@ -268,6 +268,15 @@ def test_quality_of_held_out_documents(spark):
     assert grade[0] < grade[1] < grade[2]
 
 
+def test_quality_in_every_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    ratings = quality.graded(labels)
+    out = quality.score(docs, quality.fit(docs, ratings)).join(ratings, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r.lang for r in out}:
+        kept = {g: np.mean([r.keep for r in out if (r.lang, r.grade) == (lang, g)]) for g in (1, 2)}
+        assert kept[1] < 0.25 and kept[2] > 0.95
+
+
 def test_quality_without_words_or_ratings(odd, none, documents, spark):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     got = {r.doc_id: r for r in quality.score(odd, quality.fit(documents, quality.graded(labels))).collect()}

@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 Weights are not positive: a feature can only speak against a text, so that much ordinary text
-does not outweigh a few bad words. A text's features are its distinct lower-case words and marks and a few coarse shape
+does not outweigh a few bad words. A text's features are its distinct lower-case words and marks, the 4-grams of characters
+inside longer words (bad words may come with ever other endings) and a few coarse shape
 features, hashed into a fixed number of buckets. One weight vector is shared by all
 grades; ordered thresholds ``t_1 < t_2 < ...`` give ``P(grade >= j) = 1 / (1 + exp(t_j - w x))``,
 from which the expected grade and the tail probability used for selection follow.
@@ -22,13 +23,28 @@ from pyspark.sql import functions as F
 
 from .common import over_batches, text_list
 
-BITS = 18
-#: Only buckets that occur in so many rated texts, and whose mean grade lies so many standard errors
-#: from the mean of all, get a weight; the others would only fit chance.
+BITS = 20
+#: Only buckets that occur in so many rated texts, and whose share of texts below some grade is higher than that of
+#: all by so many standard errors (by the likelihood ratio), get a weight; the others would only fit chance.
 LEAST_TEXTS, LEAST_ERRORS = 4, 4.0
+#: Words from so many characters on count with their 4-grams too.
+LONG_WORD = 6
+#: Rated texts whose features are counted at once.
+COUNT_ROWS = 1_000
 _PIECES = re.compile(r"\w+|[^\w\s]+")
 
 
+def gram_buckets(words: list[str]) -> np.ndarray:
+    """The hashed 4-grams of characters inside the words."""
+    c = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    a, b, d, e = c[:-3], c[1:-2], c[2:-1], c[3:]
+    inside = (a != 32) & (b != 32) & (d != 32) & (e != 32)
+    # 16 bits of each are enough to tell letters apart; multiplied, the top bits depend on all
+    mixed = ((a << np.uint64(48)) ^ (b << np.uint64(32)) ^ (d << np.uint64(16)) ^ e) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed[inside] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(text: str) -> np.ndarray:
     """The distinct hashed features of a text; none if it has no word."""
     pieces = _PIECES.findall(text)
@@ -42,8 +58,30 @@ def features(text: str) -> np.ndarray:
         f" upper {share(upper, len(words))}", f" marks {share(len(pieces) - len(words), len(pieces))}", f" distinct {share(len(set(words)), len(words))}",
         f" lines {share(len(set(lines)), len(lines))}", f" size {len(words).bit_length()}",
     )
-    own = {p.lower() for p in pieces} | set(shape)
-    return np.unique(np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) >> 32 - BITS for p in own), np.int64, len(own)))
+    own = {p.lower() for p in pieces}
+    grams = gram_buckets([p for p in own if len(p) >= LONG_WORD and p[0].isalnum()])
+    own |= set(shape)
+    return np.unique(np.concatenate((np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) >> 32 - BITS for p in own), np.int64, len(own)), grams)))
+
+
+def telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """The buckets that get a weight."""
+    seen, below = np.zeros(1 << BITS), np.zeros((n_grades - 1, 1 << BITS))
+    for a in range(0, len(rows), COUNT_ROWS):
+        part, own = rows[a : a + COUNT_ROWS], grades[a : a + COUNT_ROWS]
+        seen += np.bincount(np.concatenate(part), minlength=1 << BITS)
+        for j in range(1, n_grades):
+            low = [r for r, g in zip(part, own.tolist(), strict=True) if g < j]
+            below[j - 1] += np.bincount(np.concatenate([*low, np.zeros(0, np.int64)]), minlength=1 << BITS)
+    some = np.flatnonzero(seen >= min(LEAST_TEXTS, max(1, len(rows) // 4)))
+    n, apart = seen[some], np.zeros(len(some), bool)
+    for j in range(1, n_grades):
+        share = (grades < j).mean() if len(grades) else 0
+        if 0 < share < 1:
+            k = below[j - 1, some]
+            ratio = 2 * (k * np.log(np.maximum(k, 1e-9) / (n * share)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / (n * (1 - share))))
+            apart |= (k > n * share) & (ratio >= LEAST_ERRORS**2)
+    return some[apart]
 
 
 @dataclass
@@ -57,17 +95,11 @@ class Ordinal:
     def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 300, penalty: float = 2e-4) -> Ordinal:
         """Maximum likelihood with a squared penalty, by Adam over all rows. Thresholds stay
         ordered because the steps between them are exponentials."""
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        index = np.concatenate([*rows, np.zeros(0, np.int32)])
-        seen = np.bincount(index, minlength=1 << BITS)
-        of_bucket = np.bincount(index, weights=np.repeat(grades, size), minlength=1 << BITS)
-        spread = grades.std() / np.sqrt(np.maximum(seen, 1)) if len(grades) else np.ones(1 << BITS)
-        apart = np.abs(of_bucket / np.maximum(seen, 1) - (grades.mean() if len(grades) else 0)) >= LEAST_ERRORS * spread
-        used = np.flatnonzero((seen >= min(LEAST_TEXTS, max(1, len(rows) // 4))) & apart)
+        used = telling(rows, grades, n_grades)
         place = np.full(1 << BITS, -1)
         place[used] = np.arange(len(used))
-        row, col = np.repeat(np.arange(len(rows)), size), place[index]
-        row, col = row[col >= 0], col[col >= 0]
+        cols = [x[x >= 0] for x in (place[r] for r in rows)]
+        row, col = np.repeat(np.arange(len(rows)), np.fromiter(map(len, cols), np.int64, len(cols))), np.concatenate([*cols, np.zeros(0, np.int64)])
         k = n_grades - 1
         share = np.clip([(grades >= j).mean() if len(grades) else 0.5 for j in range(1, k + 1)], 1e-3, 1 - 1e-3)
         cut = -np.log(share / (1 - share))
