@@ -120,11 +120,12 @@ def inject_enrichment(daily: DataFrame, target: str = "M", rate_ratio: float = 1
     mean = F.avg("seizure_count").over(Window.partitionBy("participant_id")) * (rate_ratio - 1)
     u = (C.stable_hash(seed, "participant_id", "calendar_day_index") + 0.5) / F.lit(2.0**32)
     out = daily.withColumn("_m", mean).withColumn("_u", u)
-    # struct: probability of k, cumulated probability, draws so far
-    start = F.struct(F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("c"), F.lit(0).alias("n"))
+    # struct: logarithm of the probability of k, cumulated probability, draws so far; 12 deviations lie beyond any 32-bit number
+    m = F.col("_m")
+    start = F.struct((-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("n"))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.lit(40)), start,
-        lambda a, k: F.struct((a["p"] * F.col("_m") / k).alias("p"), (a["c"] + a["p"] * F.col("_m") / k).alias("c"), (a["n"] + (F.col("_u") > a["c"]).cast("int")).alias("n")),
+        F.sequence(F.lit(1), F.ceil(m + 12 * F.sqrt(m) + 20).cast("int")), start,
+        lambda a, k: F.struct((a["p"] + F.log(m / k)).alias("p"), (a["c"] + F.exp(a["p"] + F.log(m / k))).alias("c"), (a["n"] + (F.col("_u") > a["c"]).cast("int")).alias("n")),
     )["n"]
     more = F.when((F.col("phase") == target) & (F.col("_m") > 0), draw).otherwise(0)
     return out.withColumn("seizure_count", F.col("seizure_count") + more).withColumn("seizure_day", (F.col("seizure_count") > 0).cast("int")).drop("_m", "_u")
