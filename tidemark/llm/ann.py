@@ -3,8 +3,8 @@
 Equal vectors are one node with its smallest ids (as many as a result can hold), so
 a very common vector is a single node. Nodes are dealt into shards by hash; each shard
 builds its hierarchical graph in one task, with many nodes searching the graph in
-lockstep, and stores it as flat neighbour arrays. Every query vector is searched in
-every shard and the results are merged.
+lockstep, and stores it as flat neighbour arrays. Every query vector walks the graph of
+every shard, whatever its size, and the results are merged.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Nodes of a shard at most, on average; with few nodes there are LEAST_SHARDS.
+#: Nodes of a shard at most, on average; small tables are spread over up to SPREAD shards of so many nodes at least.
 SHARD_NODES = 32_768
-LEAST_SHARDS = 8
+SPREAD, LEAST_NODES = 8, 1_024
 #: Query vectors that one task searches in one shard.
 QUERY_BLOCK = 8_192
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 96
@@ -46,7 +46,7 @@ class Graph:
         rng = np.random.default_rng(n)
         level = np.floor(-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int)
         order = np.lexsort((rng.random(n), -level))
-        sizes = [s for k in range(int(level.max()), 0, -1) if (s := int((level >= k).sum())) > 4 * LINKS] + [n]
+        sizes = [s for k in range(int(level.max()), 0, -1) if (s := int((level >= k).sum())) > 4] + [n]
         for size in sizes:
             self._layer(order[:size], LINKS * 2)
         return self
@@ -162,15 +162,13 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int) -> np.ndarray:
         """Row numbers of up to ``k`` near rows for each query, -1 where fewer were found."""
-        if len(self.rows) <= 4 * SEARCH_WIDTH:
-            score = q @ self.rows.T
-            return np.argsort(-score, axis=1, kind="stable")[:, :k]
         at = np.zeros((len(q), 1), np.int64)
         for members, links in self.layers[:-1]:
             at = self._beam(self.rows[members], links, q, at, 8)[0][:, :1]
         members, links = self.layers[-1]
-        found = self._beam(self.rows[members], links, q, at, max(SEARCH_WIDTH, k))[0][:, :k]
-        return np.where(found >= 0, members[found], -1)
+        found, score = self._beam(self.rows[members], links, q, at, max(SEARCH_WIDTH, k))
+        rows = np.where(found >= 0, members[found], -1)
+        return np.take_along_axis(rows, np.lexsort((rows, -score), axis=1)[:, :k], 1)  # of equals the first row
 
 
 def _level(x: np.ndarray) -> np.ndarray:
@@ -187,23 +185,28 @@ def usable(vector: Column) -> Column:
 
 
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
-    """``dim, node, vector, ids`` for each distinct usable vector: its ``k + 1`` smallest ids (a result
-    holds no more of them), ``node`` the smallest."""
+    """``dim, node, vector, ids`` for each distinct usable vector: its ``k + 1`` smallest distinct ids (a result
+    holds no more of them), ``node`` a number of its own."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))  # cut to k + 1 before the shuffle
+    rank = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))  # cut to k + 1 before the shuffle
     few = rows.withColumn("k", rank).where(F.col("k") <= k + 1)
-    out = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return out.select(F.size("vector").alias("dim"), F.get("ids", F.lit(0)).alias("node"), "vector", "ids")
+    out = few.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    return out.select(F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("node"), "vector", "ids")
 
 
-INDEX = "dim int, shard int, nodes array<long>, vectors binary, members array<binary>, links array<binary>"
+def shards_for(nodes: int) -> int:
+    """Shards for so many nodes: enough to keep each within ``SHARD_NODES``, and up to ``SPREAD`` for smaller tables."""
+    return max(1, -(-nodes // SHARD_NODES), min(SPREAD, nodes // LEAST_NODES))
+
+
+INDEX = "dim int, shard int, nodes array<long>, firsts array<long>, vectors binary, members array<binary>, links array<binary>"
 
 
 def build_index(points: DataFrame, shards: int) -> DataFrame:
     """One row a shard: its nodes, vectors and each layer's members and flat neighbour array."""
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
+        table = table.sort_by([("first", "ascending"), ("node", "ascending")])
         x = np.array(table.column("vector").to_pylist(), np.float32)
         graph = Graph.build(_level(x))
         return pa.table(
@@ -211,19 +214,21 @@ def build_index(points: DataFrame, shards: int) -> DataFrame:
                 "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()),
                 "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
                 "nodes": pa.array([table.column("node").to_pylist()], pa.list_(pa.int64())),
+                "firsts": pa.array([table.column("first").to_pylist()], pa.list_(pa.int64())),
                 "vectors": pa.array([x.tobytes()], pa.binary()),
                 "members": pa.array([[m.tobytes() for m, _ in graph.layers]], pa.list_(pa.binary())),
                 "links": pa.array([[a.tobytes() for _, a in graph.layers]], pa.list_(pa.binary())),
             }
         )
 
-    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
-    return points.select("dim", "node", "vector", shard.alias("shard")).groupBy("dim", "shard").applyInArrow(build, INDEX)
+    first = F.get("ids", F.lit(0))
+    shard = F.pmod(F.xxhash64(first), F.lit(shards)).cast("int")
+    return points.select("dim", "node", first.alias("first"), "vector", shard.alias("shard")).groupBy("dim", "shard").applyInArrow(build, INDEX)
 
 
 def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = own = x = loaded = None
+        graph = own = first = x = loaded = None
         for batch in batches:
             kind = np.array(batch.column("kind").to_pylist())
             group = np.stack([np.array(batch.column(c).to_pylist()) for c in ("dim", "shard", "part")], 1)
@@ -235,7 +240,7 @@ def _searcher(k: int):
                 if kind[lo] == 0:
                     loaded = key
                     r = batch.slice(lo, 1).to_pylist()[0]
-                    own, x = np.array(r["nodes"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"])
+                    own, first, x = np.array(r["nodes"], np.int64), np.array(r["firsts"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"])
                     graph = Graph(_level(x))
                     graph.layers = [(np.frombuffer(m, np.int32), np.frombuffer(a, np.int32).reshape(len(m) // 4, -1)) for m, a in zip(r["members"], r["links"], strict=True)]
                     continue
@@ -248,7 +253,7 @@ def _searcher(k: int):
                     a, b = np.nonzero(found >= 0)
                     row = found[a, b]
                     score = (q[a].astype(np.float64) * x[row].astype(np.float64)).sum(1)
-                    yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(a)), pa.array(own[row]), pa.array(score)], ["query", "node", "score"])
+                    yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(a)), pa.array(own[row]), pa.array(first[row]), pa.array(score)], ["query", "node", "first", "score"])
 
     return run
 
@@ -258,14 +263,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     inner product other than its own, as found; ties to the smaller vec_id.
 
     Both have ``vec_id, embedding``, and queries are rows of ``vectors``. Unusable vectors (see
-    :func:`usable`) take no part. Vectors of another length are no candidates.
+    :func:`usable`) take no part. Vectors of another length are no candidates. Rows that repeat a
+    vec_id and its vector count once; a vec_id that has several vectors is asked with each and found once, at
+    its largest product, and may then leave fewer than ``k`` others. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     points = saved(nodes(vectors, k))
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector")).where(usable(F.col("vector")))
     asked = saved(asked.join(points.select("vector", "dim", "node"), "vector").select("query_id", "dim", F.col("node").alias("query"), "vector"))
     distinct = asked.select("dim", "query", "vector").dropDuplicates(["query"])
-    shards = max(LEAST_SHARDS, -(-points.count() // SHARD_NODES))
+    shards = shards_for(points.count())
     parts = max(1, -(-distinct.count() // QUERY_BLOCK))
     index = saved(build_index(points, shards))
     held = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
@@ -275,13 +282,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     )
     key = ["dim", "shard", "part"]
     met = held.unionByName(sent, allowMissingColumns=True).repartition(shards * parts, *key).sortWithinPartitions(*key, "kind")
-    found = met.mapInArrow(_searcher(k + 1), "query long, node long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    found = met.mapInArrow(_searcher(k + 1), "query long, node long, first long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "first", "node")
     top = found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k + 1)
     spread = top.join(points.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = spread.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k + 1)
-    listed = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("k", "vec_id", "score"))).alias("near"))
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = asked.select("query_id", "query").join(listed, "query").select("query_id", F.posexplode(others).alias("place", "x"))
-    return out.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    listed = listed.groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    met = asked.select("query_id", "query").distinct().join(listed, "query").select("query_id", F.explode("near").alias("x")).where("x.vec_id <> query_id")
+    met = met.repartition("query_id").groupBy("query_id", F.col("x.vec_id").alias("vec_id")).agg(F.max("x.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
