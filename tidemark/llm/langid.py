@@ -1,9 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Letters and marks are folded to lower case, everything else to a single space; the
-n-grams of 1 to 3 characters are hashed into a fixed number of buckets. Training counts
+Letters and marks are folded to lower case, everything else to a single space (a text whose
+only such characters are marks has no letter); the n-grams of 1 to 3 characters are hashed into a fixed number of buckets. Training counts
 buckets on at most ``sample_per_language`` rows of each language; the log-probability
-matrix (buckets x languages, a fixed size for each language) goes to the tasks with the
+matrix (buckets x languages, a fixed size for each language, of bounded number) goes to the tasks with the
 function, which add the matrix rows of each document's n-grams in numpy.
 """
 
@@ -24,16 +24,19 @@ BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 SAMPLE_PARTS = 16
+#: The matrix has 256 KB for each language; with more than these (256 MB) training stops with an error.
+MOST_LANGUAGES = 1_024
 
 
 @lru_cache(maxsize=1)
-def _folds() -> np.ndarray:
-    """For every code point its folded form: the lower-case letter or mark, else a space."""
-    out = np.full(0x110000, 32, np.uint32)
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point its folded form (the lower-case letter or mark, else a space), and whether it is a letter."""
+    out, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
     for i in range(0x110000):
-        if unicodedata.category(c := chr(i))[0] in "LM":
-            out[i] = ord(c.lower()[0])
-    return out
+        kind = unicodedata.category(c := chr(i))[0]
+        if kind in "LM":
+            out[i], letter[i] = ord(c.lower()[0]), kind == "L"
+    return out, letter
 
 
 def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -41,16 +44,16 @@ def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nd
     after another, a space around each), where each text begins, and whether it has a letter."""
     raw = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
-    folded = _folds()[raw]
+    fold, is_letter = _folds()
+    folded = fold[raw]
     first = np.zeros(len(raw), bool)
     begin = np.cumsum(size) - size
+    letters = np.logical_or.reduceat(is_letter[raw], begin)
     first[begin] = True
     keep = (folded != 32) | first
     keep[1:] |= folded[:-1] != 32
     place = np.cumsum(keep) - keep
     chars, begin = folded[keep], place[begin]
-    end = np.append(begin[1:], len(chars))
-    letters = end - begin > 1
     out, key = [], np.zeros(len(chars), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         key[: len(chars) - n + 1] = key[: len(chars) - n + 1] * np.uint32(0x01000193) ^ chars[n - 1 :]
@@ -78,6 +81,8 @@ def train(labelled: DataFrame, sample_per_language: int = 2_000) -> tuple[list[s
     ranked = rows.select("lang", part.alias("part"), order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h")))
     last = ranked.where(F.col("k") <= max(1, sample_per_language // SAMPLE_PARTS)).groupBy("lang", "part").agg(F.max("h").alias("h")).collect()
     languages = sorted({r["lang"] for r in last})
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; a matrix of at most {MOST_LANGUAGES} goes to the tasks")
     if not languages:
         return [], np.zeros((1 << BITS, 0), np.float32)
     upto = F.create_map(*[F.lit(x) for r in last for x in (f"{r['part']} {r['lang']}", r["h"])])
@@ -104,29 +109,37 @@ def train(labelled: DataFrame, sample_per_language: int = 2_000) -> tuple[list[s
     return languages, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
+def posteriors(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of its best language (the first of equals), that one's posterior probability
+    under equal priors, and whether the text has a letter."""
+    best, prob, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for lo, hi in blocks(texts):
+        grams, begin, letters[lo:hi] = ngram_buckets(texts[lo:hi])
+        total = np.zeros((hi - lo, matrix.shape[1]))
+        for b in grams:
+            for k in range(matrix.shape[1]):
+                total[:, k] += np.add.reduceat(matrix[:, k][b], begin, dtype=np.float64)
+        if matrix.shape[1]:
+            best[lo:hi] = total.argmax(1)
+            prob[lo:hi] = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
+    return best, prob, letters
+
+
 def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row of ``docs`` (``doc_id, text``).
+    """``doc_id, lang_pred, score`` for each row of ``docs`` (``doc_id, text``), repeated rows each on their own.
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned.
     The score is the posterior probability under equal priors; ties go to the smaller name.
+    Long texts count whole; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # 2**BITS rows by languages
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # 2**BITS rows by at most MOST_LANGUAGES
 
     def start():
         def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts, w = text_list(batch), shared.value
-            best, prob = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for lo, hi in blocks(texts) if languages else ():
-                grams, begin, letters = ngram_buckets(texts[lo:hi])
-                total = np.zeros((hi - lo, len(languages)))
-                for b in grams:
-                    for k in range(len(languages)):
-                        total[:, k] += np.add.reduceat(w[:, k][b], begin, dtype=np.float64)
-                top = total.argmax(1)
-                p = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
-                for i in np.flatnonzero(letters).tolist():
-                    best[lo + i], prob[lo + i] = languages[top[i]], p[i]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(prob)], ["doc_id", "lang_pred", "score"])
+            best, prob, letters = posteriors(text_list(batch), shared.value)
+            known = letters if languages else np.zeros(len(best), bool)
+            names = [languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, prob, 0.0))], ["doc_id", "lang_pred", "score"])
 
         return score
 
@@ -134,27 +147,20 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(over_batches(start), f"doc_id {kind}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, predictions: DataFrame | None = None, min_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with at least ``min_score``; all columns kept.
 
-    The predictor is trained on the labelled rows of ``docs`` that are not held out.
-    Scoring runs beside the rows themselves, without a join.
+    The predictor is trained on the labelled rows of ``docs`` that are not held out. Texts that are null or
+    have no letter go. If there is no labelled row, nothing is known to reject by and every text with a letter stays.
+    Repeated rows are judged alike; an empty table gives no rows. Scoring runs beside the rows themselves, without a join.
     """
     languages, matrix = train(docs.where(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    if not languages:
-        return docs.limit(0)
 
     def start():
         def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts, w = text_list(batch), shared.value
-            ok = np.zeros(len(texts), bool)
-            for lo, hi in blocks(texts):
-                grams, begin, letters = ngram_buckets(texts[lo:hi])
-                total = np.stack([sum(np.add.reduceat(w[:, k][b], begin, dtype=np.float64) for b in grams) for k in range(w.shape[1])], 1)
-                p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                ok[lo:hi] = letters & (p >= min_score)
-            yield batch.filter(pa.array(ok))
+            _, prob, letters = posteriors(text_list(batch), shared.value)
+            yield batch.filter(pa.array(letters & (prob >= min_score) if languages else letters))
 
         return keep
 
