@@ -11,9 +11,11 @@ Both take ``tokenizers`` files of kind BPE, byte-level with or without ``</w>``
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,6 +25,8 @@ import regex
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens with more symbols are encoded one by one.
 LONG = 40
+#: Arcs of the automaton that a task holds at once (5 bytes each).
+ARCS = 1 << 20
 #: Distinct chunks remembered by a task before it starts afresh.
 REMEMBERED = 400_000
 
@@ -110,6 +114,8 @@ class Vocabulary:
         self.right = np.array([ids[b] for _, b in pairs], np.int32)
         self.made = np.array([ids[a + b] for a, b in pairs], np.int32)
         self.rank = Table(self.pair(self.left, self.right), np.arange(len(pairs), dtype=np.int32))
+        self.left_list, self.right_list, self.made_list = self.left.tolist(), self.right.tolist(), self.made.tolist()
+        self.rank_of = {(int(a) << 16) + int(b): k for k, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     @staticmethod
@@ -132,32 +138,54 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class PairMerger:
-    """Encodes many pre-tokens at once: each round merges, in every word, the first pair of lowest rank."""
+    """Encodes many pre-tokens at once: each round merges, in every word, the first pair of lowest rank.
+
+    A word of more than ``LONG`` symbols is merged by itself with a heap of its pairs over a linked list, in
+    time n log n, so that an unbroken text of a megabyte is no worse than others.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number for each word."""
-        v = self.v
-        sym, size = v.symbols(words)
-        start = np.cumsum(size) - size
-        out_size = size.astype(np.int32)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = np.zeros(len(words), np.int32)
+        for own, n, ids in self._merged(words):
+            size[own] = n
+            parts.append((own, ids))
+        return _in_order(parts, size)
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """The number of pieces of each word."""
+        size = np.zeros(len(words), np.int32)
+        for own, n, _ in self._merged(words):
+            size[own] = n
+        return size
+
+    def _merged(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of words that are done, their numbers of symbols, and these one after another."""
+        v = self.v
+        for i in [i for i, w in enumerate(words) if len(w) > LONG]:
+            ids = self._merge_one(words[i])
+            yield np.array([i]), np.array([len(ids)]), ids
+        short = [w if len(w) <= LONG else b"" for w in words]
+        sym, size = v.symbols(short)
         live = np.flatnonzero(size > 0)
         sym_n = size[live]
+        if not len(live):
+            return
         rank = np.full(len(sym), NONE, np.int32)
         if len(sym) > 1:
             rank[:-1] = v.rank.get(v.pair(sym[:-1], sym[1:]))
-        rank[start[live] + sym_n - 1] = NONE
+        rank[np.cumsum(sym_n) - 1] = NONE
         while len(live):
             begin = np.cumsum(sym_n) - sym_n
             least = np.minimum.reduceat(rank, begin)
             done = least == NONE
             if done.any():
                 keep = np.repeat(~done, sym_n)
-                parts.append((live[done], sym[~keep]))
-                out_size[live[done]] = sym_n[done]
+                yield live[done], sym_n[done], sym[~keep]
                 live, sym_n, least, sym, rank = live[~done], sym_n[~done], least[~done], sym[keep], rank[keep]
                 if not len(live):
                     break
@@ -177,7 +205,32 @@ class PairMerger:
                 rank[i] = v.rank.get(v.pair(sym[i], sym[i + 1]))
             last = at[at == begin + sym_n - 1]
             rank[last] = NONE
-        return _in_order(parts, out_size)
+
+    def _merge_one(self, word: bytes) -> np.ndarray:
+        v = self.v
+        start = v.symbols([word])[0]
+        first = v.rank.get(v.pair(start[:-1], start[1:]))
+        at = np.flatnonzero(first != NONE)
+        heap = ((first[at].astype(np.int64) << 32) + at).tolist()
+        heapq.heapify(heap)
+        sym, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of, made, left, right = v.rank_of.get, v.made_list, v.left_list, v.right_list
+        while heap:
+            r, i = divmod(heapq.heappop(heap), 1 << 32)
+            j = after[i]
+            if sym[i] != left[r] or j >= n or sym[j] != right[r]:
+                continue  # one of the two is no longer there
+            sym[i], sym[j] = made[r], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := rank_of((sym[i] << 16) + sym[k])) is not None:
+                    heapq.heappush(heap, (new << 32) + i)
+            h = before[i]
+            if h >= 0 and (new := rank_of((sym[h] << 16) + sym[i])) is not None:
+                heapq.heappush(heap, (new << 32) + h)
+        return np.array([x for x in sym if x >= 0], np.int32)
 
 
 def _in_order(parts: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +250,17 @@ class MergeAutomaton:
     arcs of one label share their target, a state is named by the label that leads to
     it, and the arc ``t`` leaves the state of ``s`` unless a gadget removed it: a merge
     ``(x, y)`` with ``x`` on the right edge of ``s`` and ``y`` on the left edge of ``t``,
-    made while these two stood at the border. The arcs are kept in this factored form
-    (birth, left and right part of each label, removed pairs with their time), as the
-    full table has thousands of millions of entries; :meth:`arc` reads it.
+    made while these two stood at the border. The full table of arcs has thousands of
+    millions of entries. So the gadgets are kept as their history (time, left and right
+    part of each label, the pair removed), from which :meth:`arc` compiles single arcs,
+    and the arcs that words meet are entered into the transition table of the task, a
+    hash table of fixed size which all words share (:meth:`step`); where two arcs want
+    one place the later stands. The tests apply gadgets one after another
+    (:func:`apply_gadgets`) and compare arc by arc.
 
     A word's tokens are the labels on its only path. It is found from left to right with
     tables alone: from each place reached, a trie gives the tokens that begin there, and
-    an arc test tells which one may follow.
+    the transition table tells which one may follow.
     """
 
     def __init__(self, vocab: Vocabulary):
@@ -221,7 +278,16 @@ class MergeAutomaton:
             self.born[c], self.part_l[c], self.part_r[c] = k, a, b
             spell[c] = spell[a] + spell[b]
             self.length[c] = len(spell[c])
+        self._one = [x.tolist() for x in (self.born, self.part_l, self.part_r)]
+        dead: set[int] = set()  # labels whose gadget finds no arc from one part to the other
+        when = np.arange(len(v.made), dtype=np.int32)
+        apart = ~self.arc(v.left, v.right, when)
+        for a, b, c, no in zip(v.left.tolist(), v.right.tolist(), v.made.tolist(), apart.tolist(), strict=True):
+            if no or a in dead or b in dead:
+                dead.add(c)
         for token, path in spell.items():
+            if token in dead:
+                continue
             node = 0
             for s in path:
                 key = node * 512 + s
@@ -233,13 +299,29 @@ class MergeAutomaton:
                 node = edges[key]
             accept[node] = token
         self.trie, self.accept = Table(np.array(keys, np.uint32), np.array(kids, np.int32)), np.array(accept, np.int32)
+        self.arc_keys, self.arc_there = np.full(ARCS, 2**32 - 1, np.uint32), np.zeros(ARCS, bool)
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """:meth:`arc` by the transition table, which learns the arcs that it lacks."""
+        key = self.v.pair(np.maximum(state, 0), label)
+        slot = (key * np.uint32(2654435769)) >> np.uint32(32 - ARCS.bit_length() + 1)
+        ok = self.arc_there[slot] | (state < 0)
+        new = np.flatnonzero((self.arc_keys[slot] != key) & (state >= 0))
+        if len(new):
+            ok[new] = self.arc(state[new], label[new])
+            self.arc_keys[slot[new]] = key[new]
+            # of several arcs for one place the last assignment stands for both arrays
+            self.arc_there[slot[new]] = ok[new]
+        return ok
 
-    def arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Whether the state reached by each token has an arc with each label; state -1 is the start."""
+    def arc(self, state: np.ndarray, label: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the state reached by each token has an arc with each label; state -1 is the start. ``before``: ahead
+        of the gadget of that number (default: after all)."""
         ok = np.ones(len(state), bool)
         at = np.flatnonzero(state >= 0)
         s, t = state[at].copy(), label[at].copy()
-        before = np.full(len(at), NONE, np.int32)  # gadgets from this one on came after the border changed
+        # gadgets from this one on came after the border changed
+        before = np.full(len(at), NONE, np.int32) if before is None else before[at]
         while len(at):
             gone = self.v.rank.get(self.v.pair(s, t)) < before
             ok[at[gone]] = False
@@ -291,7 +373,7 @@ class MergeAutomaton:
                     break
                 token = self.accept[node]
                 may = np.flatnonzero(token >= 0)
-                fit = may[self.arc(state[row[may], i], token[may])]
+                fit = may[self.step(state[row[may], i], token[may])]
                 state[row[fit], j + 1] = token[fit]
                 on = size[row] > j + 1
                 row, node = row[on], node[on]
@@ -331,13 +413,39 @@ class MergeAutomaton:
             at -= self.length[state[at]]
         return np.array(out[::-1], np.int32)
 
-    def _arc_of_one(self, state: int, label: int) -> bool:
-        known = self.__dict__.setdefault("_known", {})
-        if (ok := known.get((state, label))) is None:
-            if len(known) > 500_000:
-                known.clear()
-            ok = known[state, label] = bool(self.arc(np.array([state], np.int32), np.array([label], np.int32))[0])
-        return ok
+    def _arc_of_one(self, s: int, t: int) -> bool:
+        """:meth:`arc` for one state and label."""
+        born, part_l, part_r = self._one
+        before = len(self.v.rank_of)
+        while s >= 0:
+            if self.v.rank_of.get((s << 16) + t, before) < before:
+                return False
+            if born[s] < 0 and born[t] < 0:
+                break
+            if born[s] > born[t]:
+                before, s = born[s], part_r[s]
+            else:
+                before, t = born[t] + 1, part_l[t]
+        return True
+
+
+def apply_gadgets(base: list[int], merges: list[tuple[int, int, int]]) -> list[dict[int, int]]:
+    """The automaton of a small vocabulary with all its arcs: for each state (0 is the start) label -> state.
+
+    Applies the gadget of each merge ``(u, v, uv)`` in turn. Its size is that of the states times the labels.
+    """
+    arcs: list[dict[int, int]] = [dict.fromkeys(base, 0)]
+    for u, v, uv in merges:
+        target = next((a[u] for a in arcs if u in a), None)  # the same for all arcs of one label
+        if target is None or v not in arcs[target]:
+            continue
+        last = arcs[target][v]
+        arcs.append({k: x for k, x in arcs[target].items() if k != v})
+        own = len(arcs) - 1
+        for a in arcs:
+            if u in a:
+                a[u], a[uv] = own, last
+    return arcs
 
 
 class Codes(dict):
@@ -448,10 +556,44 @@ class TextEncoder:
         codes, per = self._codes(texts)
         return self.ids[gather(codes, self.start, self.size)], self._bounds(codes, per)
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """The number of tokens of each text: pieces of each distinct chunk times its occurrences."""
-        return np.diff(self._bounds(*self._codes(texts)))
-
     def _bounds(self, codes: np.ndarray, per: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(self.size[codes], dtype=np.int64)))
         return total[np.concatenate(([0], np.cumsum(per)))]
+
+
+class PieceCounter(TextEncoder):
+    """Counts the tokens of whole texts without their ids.
+
+    ``ids`` holds, for each distinct chunk, the codes of its pre-tokens; ``pieces`` the number of
+    pieces of each distinct pre-token, counted when it first appears.
+    """
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.pretoken: dict = {name: k for k, name in enumerate((i, "special") for i in self.v.special.values())}
+        self.ids = np.arange(len(self.pretoken), dtype=np.int64)
+        self.pieces = np.ones(len(self.pretoken), np.int64)
+
+    def _learn(self, new: list) -> None:
+        order, flat, per = self._split(new)
+        known = len(self.pretoken)
+        codes = np.array([self.pretoken.setdefault(p, len(self.pretoken)) for p in flat], np.int64)
+        fresh = [p.encode("utf-8", "surrogatepass") for p in list(self.pretoken)[known:]]
+        self.pieces = np.concatenate((self.pieces, self.words.count(fresh)))
+        begin, length = np.empty(len(new), np.int64), np.empty(len(new), np.int32)
+        begin[order], length[order] = len(self.ids) + np.cumsum(per) - per, per
+        self.start, self.size = np.concatenate((self.start, begin)), np.concatenate((self.size, length))
+        self.ids = np.concatenate((self.ids, codes))
+
+    def frequencies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (text, pre-token, number of times), one for each distinct pre-token of each text."""
+        codes, per = self._codes(texts)
+        bound, many = self._bounds(codes, per), max(1, len(self.pieces))
+        text = np.repeat(np.arange(len(texts)), np.diff(bound))
+        both, times = np.unique(text * many + self.ids[gather(codes, self.start, self.size)], return_counts=True)
+        return both // many, both % many, times
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text: its pre-token frequencies joined to the pieces, and summed."""
+        text, pretoken, times = self.frequencies(texts)
+        return np.bincount(text, weights=times * self.pieces[pretoken], minlength=len(texts)).astype(np.int64)

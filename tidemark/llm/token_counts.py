@@ -1,9 +1,11 @@
 """Token counts without ids.
 
-Within a block of documents each distinct chunk (a run without white space, with the
-space before it) is split and its pieces are counted once; the counts are joined to the
-documents' chunk frequencies by code and summed. Chunks seen before are remembered by
-the task, up to a bound. Nothing is shuffled, so no common word or source can be hot.
+Within a block of documents the pre-token frequencies of each document are gathered
+(texts are cut into chunks at white space first, and each distinct chunk is split into pre-tokens once).
+The pieces of each distinct pre-token are counted once, and remembered by the task up to a bound; the frequencies
+are joined to them by code and summed. The join runs inside the task: frequencies of
+all documents together are about as large as the texts, and a shuffle by pre-token would send them all and
+make common words hot keys.
 """
 
 from __future__ import annotations
@@ -15,19 +17,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import TextEncoder
+from .bpe import PieceCounter
 from .common import blocks, over_batches, text_list
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for each row; a null text counts as empty."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` for each row, repeated rows each on their own; a null text
+    counts as empty, long texts count whole, an empty table gives no rows."""
 
     def start():
-        encoder = TextEncoder(tokenizer)
+        counter = PieceCounter(tokenizer)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = text_list(batch)
-            n = np.concatenate([encoder.count(texts[lo:hi]) for lo, hi in blocks(texts)])
+            n = np.concatenate([counter.count(texts[lo:hi]) for lo, hi in blocks(texts)])
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
