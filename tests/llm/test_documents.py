@@ -60,6 +60,32 @@ def test_language_of_nothing(odd, none):
     assert langid.predict(none, *langid.train(none)).count() == 0 and langid.accepted(none).count() == 0
 
 
+def test_marks_are_no_letters(spark):
+    texts = ["\u2764\ufe0f", "123 \u2764\ufe0f!!", "\u0301", "e\u0301", "\u2164", "7a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("one two", "en"), ("un deux", "fr")] * 20)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, *langid.train(docs)).collect()}
+    assert [i for i, x in got.items() if x == "und"] == [0, 1, 2, 4]
+
+
+def test_training_counts(spark):
+    """The matrix against counts of plain n-grams."""
+    rows = [(1, "Ab a", "x"), (2, "ba! B", "y"), (3, None, "x"), (4, "cc", None)]
+    languages, matrix = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == ["x", "y"]
+    for k, text in enumerate((" ab a ", " ba b ")):
+        grams = [(n, text[i : i + n]) for n in (1, 2, 3) for i in range(len(text))]  # the last ones are cut short
+        scale = np.exp(matrix[:, k].astype(np.float64))
+        want = sorted((grams.count(g) + 0.5) / (len(grams) + 0.5 * len(scale)) for g in set(grams))
+        assert np.isclose(scale.sum(), 1, atol=1e-3) and np.allclose(sorted(scale)[-len(want) :], want, rtol=1e-3)
+        assert np.allclose(sorted(scale)[: -len(want)], 0.5 / (len(grams) + 0.5 * len(scale)), rtol=1e-3)
+
+
+def test_language_stage_without_anything_learned(odd):
+    kept = {r.doc_id for r in langid.accepted(odd.withColumn("lang", F.lit(None).cast("string"))).collect()}
+    assert kept == {i for i, t in enumerate(ODD) if re.search(r"[^\W\d_]", t or "")}
+
+
 def test_held_out_rule(documents):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in documents.select("doc_id", langid.held_out().alias("h")).collect())
 
@@ -158,6 +184,56 @@ def test_neighbours_of_small_and_odd_tables(spark):
     assert {q: [i for _, i in sorted(v)] for q, v in out.items()} == {q: v for q, v in want.items() if v}
 
 
+def test_repeated_vectors_and_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:50] + rows[:50] + [(200, [9.0, 9.0, 9.0, 9.0]), (200, [-9.0, 9.0, 9.0, 9.0])], "vec_id long, embedding array<float>")
+    out = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        out[r.query_id].append((r["rank"], r.vec_id))
+    for q, near in out.items():
+        assert [k for k, _ in sorted(near)] == list(range(1, len(near) + 1)) and len({i for _, i in near}) == len(near) and q not in {i for _, i in near}
+    want = brute([*rows, (199, [9.0, 9.0, 9.0, 9.0])], 20)
+    ids = {q: [i for _, i in sorted(v)] for q, v in out.items()}
+    assert all(len(v) in (19, 20) for v in ids.values())
+    assert len(set(ids[20]) & {200 if i == 199 else i for i in want[20]}) >= 18
+
+
+def clustered(n, dim=32):
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(12, dim))
+    return (centers[rng.integers(0, 12, n)] + 0.4 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [500, 2_000, 20_000])
+def test_recall_of_nearest(spark, n):
+    x = clustered(n)
+    rows = [*((i, v.tolist()) for i, v in enumerate(x)), *((i, x[i].tolist()) for i in range(0, n, 7))]  # some repeated
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        assert abs(r.score - float(x[r.query_id].astype(np.float64) @ x[r.vec_id].astype(np.float64))) < 1e-9
+        got[r.query_id].add(r.vec_id)
+    q = np.arange(0, n, 20)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -np.inf
+    true = np.argsort(-near, axis=1)[:, :20]
+    recall = np.mean([len(got[i] & set(t)) / 20 for i, t in zip(q.tolist(), true.tolist(), strict=True)])
+    print("recall", n, recall)
+    assert sorted(got) == q.tolist() and all(len(v) == 20 for v in got.values()) and recall >= 0.9
+
+
+@pytest.mark.parametrize("n", [20, 200, 1_000])
+def test_the_graph_answers_at_every_size(n):
+    """Without its links a graph finds nothing but the places it starts from."""
+    x = clustered(n)
+    graph = ann.Graph.build(ann._level(x))
+    q = np.concatenate((x[:5], np.zeros((5, 1), np.float32)), 1)
+    assert (graph.search(q, 10) >= 0).sum() == 50 and len(graph.layers) >= (2 if n > 100 else 1)
+    graph.layers = [(m, np.full_like(a, -1)) for m, a in graph.layers]
+    assert (graph.search(q, 10) >= 0).sum() <= 5
+
+
 def test_recall_of_the_graph():
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 32))

@@ -1,4 +1,6 @@
 import hashlib
+import json
+import time
 import zlib
 from collections import defaultdict
 
@@ -62,6 +64,70 @@ def test_gadgets_decide_arcs():
     assert machine.arc(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32)).tolist() == apart
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_gadgets_applied_one_after_another(tmp_path, seed):
+    """Arcs, steps and words of the automaton equal those of the explicit one, whose gadgets are applied in turn."""
+    rng = np.random.default_rng(seed)
+    shown = bpe.byte_symbols()
+    ids, merges, tokens = {c: i for i, c in enumerate(shown)}, [], ["a", "b", "c"]
+    while len(merges) < 24:
+        a, b = (tokens[i] for i in rng.integers(0, len(tokens), 2))
+        if a + b not in ids:
+            ids[a + b] = len(ids)
+            merges.append([a, b])
+            tokens.append(a + b)
+    file = tmp_path / "small.json"
+    file.write_text(json.dumps({"model": {"vocab": ids, "merges": merges, "end_of_word_suffix": None}, "added_tokens": []}))
+    v = bpe.Vocabulary(str(file))
+    machine, merger = bpe.MergeAutomaton(v), bpe.PairMerger(v)
+    arcs = bpe.apply_gadgets(list(range(256)), [(ids[a], ids[b], ids[a + b]) for a, b in merges])
+    own = [ids[t] for t in tokens if ids[t] in arcs[0]]  # some merges never find their parts side by side
+    s, t = (x.ravel().astype(np.int32) for x in np.meshgrid(own, own))
+    want = [b in arcs[arcs[0][a]] for a, b in zip(s.tolist(), t.tolist(), strict=True)]
+    assert machine.arc(s, t).tolist() == machine.step(s, t).tolist() == machine.step(s, t).tolist() == want
+    assert [machine._arc_of_one(a, b) for a, b in zip(s.tolist(), t.tolist(), strict=True)] == want
+    assert not all(want)
+    text = {i: k for k, i in ids.items()}
+    for n in (1, 5, 30, 90):
+        word = "".join(rng.choice(list("abc"), n))
+        at, path = {0: (0, [])}, None  # places reached: state and labels
+        for i in range(n):
+            state, labels = at.get(i, (None, []))
+            for label, to in arcs[state].items() if state is not None else ():
+                if word.startswith(text[label], i):
+                    assert i + len(text[label]) < n or path is None  # one path leads to the end
+                    at[i + len(text[label])] = to, [*labels, label]
+                    path = at[n][1] if n in at else None
+        assert machine.encode([word.encode()])[0].tolist() == merger.encode([word.encode()])[0].tolist() == path
+
+
+def test_steps_share_a_full_table(monkeypatch):
+    monkeypatch.setattr(bpe, "ARCS", 1 << 4)
+    texts = ["the quick brown fox jumps over lazy dogs " * 3, "unbelievable tokenization of internationalization"]
+    assert bpe.TextEncoder(BYTE, automaton=True).encode(texts)[0].tolist() == [i for t in texts for i in want(BYTE, t)]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_word_of_a_megabyte(path):
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    expected = want(path, text)
+    for automaton in (False, True):
+        begun = time.time()
+        assert ENCODERS[path, automaton].encode([text])[0].tolist() == expected
+        assert time.time() - begun < 60
+    assert bpe.PieceCounter(path).count([text]).tolist() == [len(expected)]
+
+
+def test_frequencies_of_pretokens():
+    counter = bpe.PieceCounter(BYTE)
+    texts = ["a b a b a", "", "don't a<|endoftext|>", "b"]
+    names = lambda: list(counter.pretoken)
+    rows = list(zip(*(x.tolist() for x in counter.frequencies(texts)), strict=True))
+    assert {(t, names()[p]): n for t, p, n in rows if t == 0} == {(0, "a"): 1, (0, " a"): 2, (0, " b"): 2}
+    assert len(rows) == len({r[:2] for r in rows})
+    assert counter.count(texts).tolist() == [len(want(BYTE, t)) for t in texts]
+
+
 def test_round_trip_digests(docs):
     for r in bpe_codec.round_trip_digests(docs, WORD).collect():
         ids = want(WORD, docs.where(f"doc_id = {r.doc_id}").first().text)
