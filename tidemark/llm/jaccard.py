@@ -21,14 +21,14 @@ connected already.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Members, blocks, over_batches, saved
@@ -40,8 +40,17 @@ LEAF, FAN = 48, 8
 #: Prefixes are longer by one in so many shingles, and linked sets then share as many shingles of both prefixes.
 SHARED = 16
 #: Rows of a prefix group that one task compares; larger groups are compared by pairs of blocks.
-GROUP_ROWS = 6_000
-LEADER_PARTS = 16
+GROUP_ROWS = 2_000
+#: A shingle of more documents than 2**SPLIT_BITS (by its bucket) is dealt into parts of about as many.
+SPLIT_BITS = 16
+#: A leader's keys are dealt into so many parts, or one for each LEADER_KEYS of all pairs.
+LEADER_PARTS, LEADER_KEYS = 16, 50_000
+#: Rows of counts that one task adds up.
+COUNT_ROWS = 256
+#: Keys that a task remembers to have sent.
+SENT_KEYS = 500_000
+#: More clashing keys than any corpus can have by chance end the run with an error.
+MOST_CLASHES = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -146,23 +155,46 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
 def _classes(survey: DataFrame) -> np.ndarray:
     """For each hash bucket how common it is, on a logarithmic scale: 2**BUCKET_BITS bytes."""
 
-    def add(table: pa.Table) -> pa.Table:
-        plain = zstandard.ZstdDecompressor()
-        total = np.zeros((1 << BUCKET_BITS) // SLICES, np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(plain.decompress(x), np.uint32)
-        scale = np.minimum(255, 6 * np.log2(1 + total)).astype(np.uint8)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "scale": pa.array([scale.tobytes()], pa.binary())})
-
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plain, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+            at, total = None, None
+
+            def done() -> pa.RecordBatch:
+                if last:
+                    body = np.minimum(255, 6 * np.log2(1 + total)).astype(np.uint8).tobytes()
+                else:
+                    body = small.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes())
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([body], pa.binary())], ["slice", "counts"])
+
+            for batch in batches:
+                for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+                    if k != at:
+                        if at is not None:
+                            yield done()
+                        at, total = k, np.zeros((1 << BUCKET_BITS) // SLICES, np.int64)
+                    total += np.frombuffer(plain.decompress(x.as_py()), np.uint32)
+            if at is not None:
+                yield done()
+
+        return run
+
+    counts = survey.where("slice is not null").select("slice", "counts")
+    groups = counts.count() // SLICES // COUNT_ROWS
+    if groups > 1:  # add up in two levels, so that no task reads a row of every scan task
+        part = F.pmod(F.xxhash64("counts"), F.lit(groups))
+        counts = counts.repartition("slice", part).sortWithinPartitions("slice").mapInArrow(add(False), "slice int, counts binary")
     out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.uint8)
-    for r in survey.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, scale binary").collect():
-        out[r["slice"]] = np.frombuffer(r["scale"], np.uint8)
+    for r in counts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add(True), "slice int, counts binary").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
     return out.ravel()
 
 
 def _key_clashes(rows: DataFrame) -> dict[bytes, int]:
     """Keys of their own for digests whose first 8 bytes are not theirs alone (expected: none)."""
-    several = rows.where("n > 0").groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key").collect()
+    several = rows.where("n > 0").groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key").limit(MOST_CLASHES + 1).collect()
+    if len(several) > MOST_CLASHES:
+        raise ValueError(f"more than {MOST_CLASHES} keys with several digests")
     out: dict[bytes, int] = {}
     if several:
         for r in rows.where(F.col("key").isin([r["key"] for r in several])).select("digest").distinct().collect():
@@ -171,15 +203,19 @@ def _key_clashes(rows: DataFrame) -> dict[bytes, int]:
 
 
 def _each_set(docs: DataFrame, words: int, schema: str, clashes: dict[bytes, int], rows_of) -> DataFrame:
-    """Runs ``rows_of(key, hashes, text)`` -> columns over the distinct sets of each batch."""
+    """Runs ``rows_of(key, hashes, text)`` -> columns over the distinct sets of each task (as far as it remembers)."""
     names, of = [x.split()[0] for x in schema.split(", ")], Keys(clashes)
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def start():
+        seen: set[int] = set()
+
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts, seen = _texts(batch), set()
+            texts = _texts(batch)
             for lo, hi in blocks(texts):
+                if len(seen) > SENT_KEYS:
+                    seen.clear()
                 hashes, bound = shingle_sets(texts[lo:hi], words)
                 out: list[list] = [[] for _ in names]
                 for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True), lo):
@@ -197,17 +233,42 @@ def _each_set(docs: DataFrame, words: int, schema: str, clashes: dict[bytes, int
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray, clashes: dict[bytes, int]) -> DataFrame:
-    """``token, key, n`` for each shingle of each set's prefix."""
+    """``token, key, n, parts`` for each shingle of each set's prefix; ``parts``: in how many the token's rows are dealt."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def rows_of(key: int, hashes: np.ndarray, _: bytes):
         n = len(hashes)
         p = n - -(-n * percent // 100) + max(1, n // SHARED) if n > 1 else 0  # a single shingle links with its equals only
         common = shared.value[hashes >> np.uint64(64 - BUCKET_BITS)]
-        chosen = hashes[np.argsort(common, kind="stable")[:p]].view(np.int64)
-        return chosen, np.full(p, key), np.full(p, n)
+        first = np.argsort(common, kind="stable")[:p]
+        parts = 1 << np.maximum(0, common[first].astype(np.int64) // 6 + 1 - SPLIT_BITS)
+        return hashes[first].view(np.int64), np.full(p, key), np.full(p, n), parts
+
+    return _each_set(docs, words, "token long, key long, n long, parts int", clashes, rows_of)
+
+
+#: How each value over a token's rows is made, and made again from those of its parts.
+OVER = {"low": F.min, "high": F.max, "size": F.sum, "lead": F.max}
+
+
+def over_parts(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
+    """``rows`` (``token, key, parts``) with aggregates (names as in :data:`OVER`) over the rows of their token that lie
+    in the same part: all of them, unless the token is common and so dealt into several parts by key."""
+    here = Window.partitionBy("token", "sub")
+    dealt = rows.withColumn("sub", F.pmod(F.xxhash64("key"), F.col("parts").cast("long")))
+    return dealt.select("*", *(OVER[name](x).over(here).alias(name) for name, x in of.items()))
+
 
-    return _each_set(docs, words, "token long, key long, n long", clashes, rows_of)
+def over_tokens(rows: DataFrame, of: dict[str, Column], split: bool) -> DataFrame:
+    """``rows`` with aggregates over all rows of their token. ``split``: whether any token has several parts; what
+    is found in these is then combined and joined back to each part. ``rows`` are read twice; save them first."""
+    each = over_parts(rows, of)
+    if not split:
+        return each.drop("sub")
+    whole = rows.where("parts > 1").groupBy("token", "parts").agg(*(OVER[name](x).alias(f"all_{name}") for name, x in of.items()))
+    whole = whole.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    joined = each.join(whole, ["token", "sub"], "left")
+    return joined.select(*rows.columns, *(F.when(F.col("parts") > 1, F.col(f"all_{name}")).otherwise(F.col(name)).alias(name) for name in of))
 
 
 def _bodies(docs: DataFrame, words: int, wanted: DataFrame, clashes: dict[bytes, int]) -> DataFrame:
@@ -226,8 +287,8 @@ def _bodies(docs: DataFrame, words: int, wanted: DataFrame, clashes: dict[bytes,
 def _linked(bodies: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the ``pairs`` (leader, key) those that link, by comparing their whole sets.
 
-    A leader's set goes once to each part of its keys, ahead of them."""
-    part = F.pmod(F.xxhash64("key"), F.lit(LEADER_PARTS))
+    ``pairs`` is read several times; save it first. A leader's set goes once to each part of its keys, ahead of them."""
+    part = F.pmod(F.xxhash64("key"), F.lit(max(LEADER_PARTS, pairs.count() // LEADER_KEYS)))
     members = pairs.join(bodies, "key").select("leader", part.alias("part"), F.lit(1).alias("kind"), "key", "body")
     ahead = pairs.select("leader", part.alias("part")).distinct()
     leaders = ahead.join(bodies.select(F.col("key").alias("leader"), "body"), "leader").select("leader", "part", F.lit(0).alias("kind"), F.col("leader").alias("key"), "body")
@@ -436,21 +497,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     rows = survey.where("slice is null").select("doc_id", "n", "digest", "key")
     classes, clashes = _classes(survey), _key_clashes(rows)
     met = _prefixes(docs, words, percent, classes, clashes)
-    group = Window.partitionBy("token")
+    ends = {"low": F.col("key"), "high": F.col("key"), "size": F.lit(1).cast("long")}
+    columns = ["token", "key", "n", "parts"]
+    met = saved(over_parts(met, ends).where("low <> high or parts > 1").select(*columns, "size"))
+    split = not met.where("parts > 1").isEmpty()
 
     def shared(rows: DataFrame) -> DataFrame:
-        each = rows.withColumn("low", F.min("key").over(group)).withColumn("high", F.max("key").over(group)).withColumn("size", F.count("*").over(group))
-        return saved(each.where("low <> high").select("token", "key", "n", "size"))
+        return saved(over_tokens(rows.select(columns), ends, split).where("low <> high").select(*columns, "size"))
 
-    met = shared(met)
+    met = shared(met) if split else met
     need = F.greatest(F.lit(1), F.expr(f"cast(ceil({percent} * n / 100.0) as long) div {SHARED}"))
     for _ in range(2):
         # a partner has at least percent % of n shingles, and so shares as many as such a prefix is longer
         enough = met.groupBy("key", "n").agg(F.countDistinct("token").alias("tokens")).where(F.col("tokens") >= need).select("key")
-        met = shared(met.select("token", "key", "n").join(enough, "key", "left_semi"))
+        met = shared(met.join(enough, "key", "left_semi"))
 
     score = met.groupBy("key").agg(F.sum("size").alias("score"))
-    ranked = met.join(score, "key").withColumn("lead", F.max(F.struct("score", "key", "n")).over(group))
+    ranked = over_tokens(met.join(score, "key"), {"lead": F.struct("score", "key", "n")}, split)
     fits = "key <> lead.key and 100 * least(n, lead.n) >= {0} * greatest(n, lead.n)".format(percent)
     often = ranked.where(fits).groupBy("key", F.col("lead.key").alias("leader")).agg(F.count("*").alias("times"))
     first = saved(often.groupBy("key").agg(F.max(F.struct("times", "leader")).alias("x")).select("key", F.col("x.leader").alias("leader")))
@@ -458,8 +521,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     links = saved(_linked(bodies, first, words, percent))
 
     joined = components(links)
-    named = met.select("token", "key", "n").distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = named.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low <> high").select("token", "key", "n", "component")
+    named = met.select("token", "key", "n", "parts").distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = over_tokens(named, {"low": F.col("component"), "high": F.col("component")}, split).where("low <> high").select("token", "key", "n", "component")
     pairs = _tree_pairs(saved(named), _bitmaps(bodies, words), percent)
     links = links.unionByName(_linked(bodies, saved(pairs), words, percent))
 
