@@ -18,12 +18,14 @@ BATCH_ROWS = 2_000
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with ``checkpoint()`` in the shared folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a local one is set only
-    where the session names none (tests).
+    The folder is ``spark.checkpoint.dir`` of the session; one of its own is set only where the
+    session names none and runs inside one machine (tests). On a cluster without the setting this is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
@@ -80,15 +82,14 @@ class Members:
     Its size does not depend on the keys: with very many it lets more through, never less.
     """
 
-    BITS = 21
-
-    def __init__(self, keys: DataFrame, name: str = "key"):
-        spot = F.pmod(F.col(name), F.lit(1 << self.BITS))
-        cells = keys.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({name}, {1 << self.BITS}) & 63 as int))").alias("bit"))
-        self.words = np.zeros(1 << self.BITS - 6, np.int64)
-        for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-            self.words[r["cell"]] = r["bits"]
+    def __init__(self, keys: DataFrame, name: str = "key", bits: int = 21):
+        self.bits = bits
+        spot = F.pmod(F.col(name), F.lit(1 << bits))
+        cells = keys.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({name}, {1 << bits}) & 63 as int))").alias("bit"))
+        self.words = np.zeros(1 << bits - 6, np.int64)
+        got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**(bits - 6) rows at most
+        self.words[got.column("cell").to_numpy()] = got.column("bits").to_numpy()
 
     def may_hold(self, key: int) -> bool:
-        at = key % (1 << self.BITS)
+        at = key % (1 << self.bits)
         return bool(int(self.words[at >> 6]) >> (at & 63) & 1)

@@ -45,18 +45,16 @@ class Fingerprinter:
         return name
 
 
+#: Clashing hashes, and texts with such hashes, that may go to the driver.
+MOST_SHARED = 10_000
+
+
 def _key(digest: str) -> int:
     return int(digest[:15], 16)
 
 
-def shared_digests(docs: DataFrame, bits: int = 128) -> dict[str, list[bytes]]:
-    """Hashes that belong to more than one canonical text, with these texts in order.
-
-    First the keys of hashes are counted, each once a batch, so that a large group of copies is
-    small before the shuffle; then only texts whose key came from several batches are sent
-    (compressed) and grouped by hash and bytes. With 128 bits the result is empty for any corpus one can
-    expect; it alone goes to the driver.
-    """
+def digest_keys(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """``key`` of the hashes of the texts, each once a batch, so that a large group of copies is small."""
     name = Fingerprinter({}, bits).digest
 
     def keys_of():
@@ -66,9 +64,22 @@ def shared_digests(docs: DataFrame, bits: int = 128) -> dict[str, list[bytes]]:
 
         return step
 
-    texts = docs.select("text")
-    repeated = texts.mapInArrow(over_batches(keys_of), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(Members(repeated))  # of fixed size
+    return docs.select("text").mapInArrow(over_batches(keys_of), "key long")
+
+
+def shared_digests(docs: DataFrame, keys: DataFrame, bits: int = 128) -> dict[str, list[bytes]]:
+    """Hashes that belong to more than one canonical text, with these texts in order.
+
+    ``keys`` are those of the hashes (:func:`digest_keys`). Only texts whose key came more than once are sent
+    (compressed, each once a batch) and grouped by hash and bytes. With 128 bits the result is empty for any corpus one can
+    expect; it alone goes to the driver, and more than ``MOST_SHARED`` such hashes or texts end the run with an error.
+    """
+    name = Fingerprinter({}, bits).digest
+    repeated = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    n = repeated.count()
+    if not n:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(Members(repeated, bits=min(25, max(21, (8 * n).bit_length()))))  # 4 MB at most
 
     def bodies_of():
         small = zstandard.ZstdCompressor(level=3)
@@ -80,19 +91,22 @@ def shared_digests(docs: DataFrame, bits: int = 128) -> dict[str, list[bytes]]:
 
         return step
 
-    bodies = texts.mapInArrow(over_batches(bodies_of), "digest string, body binary").groupBy("digest", "body").agg(F.count("*").alias("n"))
+    bodies = docs.select("text").mapInArrow(over_batches(bodies_of), "digest string, body binary").groupBy("digest", "body").agg(F.count("*").alias("n"))
     several = bodies.groupBy("digest").agg(F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).where("n > 1").select("digest")
     out: dict[str, list[bytes]] = {}
-    if names := [r["digest"] for r in several.collect()]:
+    if names := [r["digest"] for r in several.limit(MOST_SHARED + 1).collect()]:
         plain = zstandard.ZstdDecompressor()
-        for r in bodies.where(F.col("digest").isin(names)).collect():
+        texts = bodies.where(F.col("digest").isin(names[:MOST_SHARED])).limit(MOST_SHARED + 1).collect()
+        if max(len(names), len(texts)) > MOST_SHARED:
+            raise ValueError(f"more than {MOST_SHARED} hashes or texts in clashes: {bits} bits are too few for these texts")
+        for r in texts:
             out.setdefault(r["digest"], []).append(plain.decompress(r["body"]))
     return {k: sorted(v) for k, v in out.items()}
 
 
 def fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """``doc_id, fingerprint`` for each row; a null text counts as empty."""
-    shared = shared_digests(docs, bits)
+    """``doc_id, fingerprint`` for each row, repeated rows each on their own; a null text counts as empty, an empty table gives no rows."""
+    shared = shared_digests(docs, digest_keys(docs, bits), bits)
 
     def start():
         of = Fingerprinter(shared, bits)
@@ -118,55 +132,59 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def sensitivity(docs: DataFrame, bits: int = 128) -> DataFrame:
     """Fingerprint of each text, of its edited text, and likeness to these and the next document.
 
-    Documents follow each other by doc_id (then text), the first after the last. Texts
-    travel compressed, sorted within ranges of doc_id; the last of a range waits for the
-    first of the next one, which are as few as the ranges. A null text counts as empty.
+    Documents follow each other by doc_id, then text (null first, as the empty text), the first after the last. Rows that repeat
+    a doc_id follow each other likewise. Texts travel once, sorted within ranges of doc_id, and are fingerprinted there; the last
+    of a range waits for the first of the next one, which are as few as the ranges. A null text counts as empty, long
+    texts count whole, an empty table gives no rows. Hashes that came more than once are then compared byte by byte; only if
+    two texts share one is everything named again.
     """
-    shared = shared_digests(docs, bits)
+    out = _follow(docs, bits, {})
+    keys = out.where("kind <> 'first'").select(F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long").alias("key"))
+    if shared := shared_digests(docs, keys, bits):
+        out = _follow(docs, bits, shared)
+    return _closed(out, bits, shared)
 
-    def shrink():
-        of, small = Fingerprinter(shared, bits), zstandard.ZstdCompressor(level=4)
 
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = text_list(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([of(t) for t in texts], pa.string()), pa.array([small.compress(t.encode()) for t in texts], pa.binary())],
-                ["doc_id", "fingerprint", "body"],
-            )
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-        return step
 
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_batches(shrink), "doc_id long, fingerprint string, body binary")
-    ranges = small.repartitionByRange(input_tasks(docs.sparkSession, docs), "doc_id").sortWithinPartitions("doc_id", "body")
-    kinds = f"kind string, part long, body binary, {RESULT}"
-    names = [x.split()[0] for x in kinds.split(", ")]
-    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-    def result(of: Fingerprinter, plain, doc_id, own: str, body: bytes, next_own: str, next_body: bytes) -> tuple:
-        text, following = (plain.decompress(x).decode() for x in (body, next_body))
-        other = edited(text, following)
-        name = of(other)
-        return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), own, name, float(name == own), float(own == next_own)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, plain, before = Fingerprinter(shared, bits), zstandard.ZstdDecompressor(), None
-        end = lambda kind, r: (kind, r["part"], r["body"], r["doc_id"], None, None, r["fingerprint"], None, None, None)
+def _result(of: Fingerprinter, doc_id, own: str, text: str, next_own: str, following: str) -> tuple:
+    other = edited(text, following)
+    name = of(other)
+    return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), own, name, float(name == own), float(own == next_own)
+
+
+def _follow(docs: DataFrame, bits: int, shared: dict[str, list[bytes]]) -> DataFrame:
+    """Results of all but the last document of each range (kind ``done``), and each range's ``first`` and ``last`` document
+    with its compressed text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ranges = texts.repartitionByRange(input_tasks(docs.sparkSession, docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    names, types = ["kind", "part", "body", *NAMES], [pa.string(), pa.int64(), pa.binary(), *TYPES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, small, before = Fingerprinter(shared, bits), zstandard.ZstdCompressor(level=4), None
+        end = lambda kind, r: (kind, r[0], small.compress(r[3].encode()), r[1], None, None, r[2], None, None, None)
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
+                now = (part, doc_id, of(text), text)
                 if before is None:
-                    rows.append(end("first", r))
+                    rows.append(end("first", now))
                 else:
-                    rows.append(("done", r["part"], None, *result(of, plain, before["doc_id"], before["fingerprint"], before["body"], r["fingerprint"], r["body"])))
-                before = r
+                    rows.append(("done", part, None, *_result(of, *before[1:], *now[2:])))
+                before = now
             if rows:
                 yield table(rows)
         if before is not None:
             yield table([end("last", before)])
 
-    out = saved(ranges.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(follow, kinds))
-    columns = [x.split()[0] for x in RESULT.split(", ")]
+    return saved(ranges.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, f"kind string, part long, body binary, {RESULT}"))
+
+
+def _closed(out: DataFrame, bits: int, shared: dict[str, list[bytes]]) -> DataFrame:
+    """The results of :func:`_follow` with those of the last document of each range."""
     firsts = out.where("kind = 'first'").select(F.col("part").alias("next_part"), F.col("fingerprint").alias("next_fingerprint"), F.col("body").alias("next_body"))
     order = Window.orderBy("next_part")  # a row for each range
     after = firsts.select(F.col("next_part").alias("part"), F.coalesce(F.lead("next_part").over(order), F.min("next_part").over(Window.partitionBy())).alias("next_part"))
@@ -176,9 +194,10 @@ def sensitivity(docs: DataFrame, bits: int = 128) -> DataFrame:
         of, plain = Fingerprinter(shared, bits), zstandard.ZstdDecompressor()
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows = [result(of, plain, r["doc_id"], r["fingerprint"], r["body"], r["next_fingerprint"], r["next_body"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[3:], strict=True)], columns)
+            text = lambda x: plain.decompress(x).decode()
+            rows = [_result(of, r["doc_id"], r["fingerprint"], text(r["body"]), r["next_fingerprint"], text(r["next_body"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
         return step
 
-    return out.where("kind = 'done'").select(*columns).unionByName(waiting.mapInArrow(over_batches(close), RESULT))
+    return out.where("kind = 'done'").select(*NAMES).unionByName(waiting.mapInArrow(over_batches(close), RESULT))
