@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .bpe import TextEncoder
 from .common import blocks, over_batches, saved, text_list
 
-#: Rows of one length are ranked in so many parts, as one length may hold most pieces.
-RANK_PARTS = 128
+#: Rows of one length are ranked in so many parts, or one for each PART_ROWS of all rows, as one length may hold most pieces.
+RANK_PARTS, PART_ROWS = 128, 500_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, width: int = 1024) -> DataFrame:
@@ -104,7 +104,8 @@ def pack(cut: DataFrame, width: int = 1024) -> DataFrame:
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = slots(spark, shortest_pack_first(histogram, width))
-    part = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)))
+    parts = max(RANK_PARTS, sum(histogram.values()) // PART_ROWS)
+    part = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
     sizes = part.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")

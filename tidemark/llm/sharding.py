@@ -4,7 +4,9 @@ Source, language and size are quantised to 4 bits each; the curve index of the c
 orders the rows, so that each shard (a run of the order) has few cells and files prune
 on several dimensions. Ranks come from counts of cells, with each cell dealt into
 parts, so no sort of all rows and no hot cell in one task is needed. Shards differ by
-one row at most (law ``rows``); copies of one text may lie in two neighbouring shards.
+one row at most (law ``rows``). Copies of one text that agree in source and language are in one cell, and so
+in one shard or, where the law cuts their cell, in neighbouring ones; the law leaves no other way for a group larger
+than a shard. Copies that differ in source or language lie apart.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 BITS = 4
-#: A cell may hold most rows; it is ranked in so many parts.
-CELL_PARTS = 128
+#: A cell may hold most rows; it is ranked in so many parts, or one for each PART_ROWS of all rows.
+CELL_PARTS, PART_ROWS = 128, 500_000
+#: Rows of a shard that one task writes.
+FILE_ROWS = 1_000_000
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -72,8 +76,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
             "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             name("lang").alias("x"), name("source").alias("y"), F.least(F.lit(level), F.greatest(F.lit(0), F.floor(F.log2(size)) - 3)).cast("int").alias("z"),
         ).withColumn("cell", (F.col("x") * (1 << 2 * BITS) + F.col("y") * (1 << BITS) + F.col("z")).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELL_PARTS)).cast("int"))
     )
+    parts = max(CELL_PARTS, rows.count() // PART_ROWS)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
     cells = cells.withColumn("curve", hilbert_index([F.col("x"), F.col("y"), F.col("z")]))  # 4,096 rows at most
@@ -89,6 +94,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Writes ``docs`` with ``shard`` and ``slot``, a folder for each shard. ``doc_id`` must be unique."""
-    placed = hilbert_shards(docs, shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes ``docs`` with ``shard`` and ``slot`` (columns of ``docs`` with these names are replaced), a folder for each shard.
+
+    Rows that share a doc_id and text each get one of these rows' places. An empty table writes no rows.
+    """
+    copy = Window.partitionBy("doc_id", "text_crc32").orderBy(F.lit(0))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    given = docs.select("doc_id", crc.alias("text_crc32"), F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("row"))
+    placed = hilbert_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot")
+    a, b = given.withColumn("copy", F.row_number().over(copy)).alias("a"), placed.withColumn("copy", F.row_number().over(copy)).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_crc32") == F.col("b.text_crc32")) & (F.col("a.copy") == F.col("b.copy"))
+    out = a.join(b, same).select("row.*", "shard", "slot")
+    # a task writes into one folder or few
+    out = out.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot")
+    out.write.partitionBy("shard").mode("overwrite").parquet(path)
