@@ -1,9 +1,11 @@
+import hashlib
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, fingerprints, jaccard, langid, quality, sharding
@@ -125,6 +127,30 @@ def test_shards_are_written(odd, spark, tmp_path):
     assert back.count() == len(ODD) and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
 
 
+def test_shards_of_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = [(i % 5 or None, f"t {i % 5}", "en", "s", "x", 7) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard string, slot int").repartition(3)
+    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((r[0] or 0, r[1]) for r in rows)
+    assert {k: sorted(r.slot for r in back if r.shard == k) for k in range(4)} == {k: list(range(5)) for k in range(4)}
+
+
+def test_files_prune_on_several_dimensions(spark):
+    """With 24 shards each holds few of the sources, languages and sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    placed = sharding.hilbert_shards(docs).withColumn("z", F.floor(F.log2("size"))).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    held = {c: placed.select("shard", c).distinct().count() / 24 / placed.select(c).distinct().count() for c in ("lang", "source", "z")}
+    print(held)
+    assert sum(held.values()) / 3 < 0.6
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 1
+    # copies of a text from one source lie in one shard or in neighbours
+    texts = docs.select("doc_id", "text").join(placed.select("doc_id", "shard", "source", "lang"), "doc_id")
+    span = texts.groupBy("text", "source", "lang").agg((F.max("shard") - F.min("shard")).alias("d")).agg(F.max("d")).first()[0]
+    assert span <= 1
+
+
 # fingerprints
 
 
@@ -151,6 +177,24 @@ def test_sensitivity(name, request):
         other = text[: len(text) - k] + following[:k]
         same = lambda a, b: float(fingerprints.canonical(a) == fingerprints.canonical(b))
         assert (r.n_chars, r.near_edited, r.near_next) == (len(text), same(text, other), same(text, following))
+        assert r.edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(xxhash.xxh3_128_hexdigest(fingerprints.canonical(x)) for x in (text, other))
+
+
+def test_sensitivity_with_shared_hashes(spark):
+    """With few bits different texts share hashes; their names still differ."""
+    rows = [(i, f"text {i % 30}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in fingerprints.sensitivity(df, 4).collect()}
+    assert all((out[a].fingerprint == out[b].fingerprint) == (rows[a][1] == rows[b][1]) for a in out for b in out)
+    assert all(r.near_next == 0 for r in out.values())
+
+
+def test_sensitivity_of_repeated_ids(spark):
+    """Rows of one doc_id follow each other by text."""
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (None, "zz")], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_chars, r.near_next) for r in fingerprints.sensitivity(df).collect()))
+    assert got == [(0, 2, 0.0), (1, 1, 0.0), (1, 1, 0.0), (1, 1, 1.0), (2, 0, 0.0)]
 
 
 def test_one_and_no_document(spark, none):
@@ -311,6 +355,23 @@ def test_near_duplicates_in_blocks_of_groups(families, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(families).collect()} == components(texts)
 
 
+def test_near_duplicates_with_split_tokens(families, monkeypatch):
+    """Common tokens dealt into parts, counts added up in two levels, several leader parts."""
+    monkeypatch.setattr(jaccard, "SPLIT_BITS", 2)
+    monkeypatch.setattr(jaccard, "COUNT_ROWS", 1)
+    monkeypatch.setattr(jaccard, "LEADER_KEYS", 2)
+    monkeypatch.setattr(jaccard, "SENT_KEYS", 3)
+    texts = {r.doc_id: r.text for r in families.collect()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(families).collect()} == components(texts)
+
+
+def test_aggregates_over_split_tokens(spark):
+    rows = [(t, k, 1 if t else 4) for t in (0, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "token long, key long, parts int")
+    out = jaccard.over_tokens(df, {"low": F.col("key"), "size": F.lit(1).cast("long")}, True).collect()
+    assert len(out) == 80 and {(r.low, r["size"]) for r in out} == {(0, 40)}
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     sets = [set(rng.choice(400, rng.integers(5, 60), replace=False).tolist()) for _ in range(150)]

@@ -3,6 +3,7 @@ import json
 import time
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,7 @@ ODD = [
 ENCODERS = {(path, automaton): bpe.TextEncoder(path, automaton) for path in (WORD, BYTE) for automaton in (False, True)}
 
 
+@lru_cache(maxsize=None)
 def want(path, text):
     return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
