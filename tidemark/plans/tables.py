@@ -17,18 +17,32 @@ from ..operators import summaries as S
 from ..operators import windows as W
 from . import diary as P
 
-_written: dict[tuple[str, str, str], str] = {}
+#: Given tables that the shared ones are made from.
+SOURCES = ("supplier", "lineitem")
+
+_written: dict[tuple, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-", dir="/tmp")
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one if the session runs inside one
+    machine (tests), else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tables-", dir="/tmp")
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the source files, so that changed input is not answered from older tables."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in SOURCES]).select("path", "length", "modificationTime")
+    return tuple(sorted(map(tuple, files.collect())))
+
+
 def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """The table as written by its first use in this application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table as written by its first use in this application since the source files last changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), name)
     if key not in _written:
         path = f"{shared_folder(spark)}/{name}"
         make(spark, sf_dir).write.parquet(path)
