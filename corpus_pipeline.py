@@ -20,27 +20,34 @@ BROADCAST_ROWS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents whose language is not recognised: null or without letters, or of low score."""
+    """Leaves out documents whose language is not recognised: null or without letters, or of low score. Without any
+    labelled row all texts with a letter stay. Repeated rows are judged alike; an empty table gives no rows."""
     small_batches(spark)
     return langid.accepted(docs, min_score=0.5)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that are probably not of the top grade (low quality or toxic)."""
+    """Leaves out documents that are probably not of the top grade (low quality or toxic), and texts without words; without
+    any rating all stay. Repeated rows are judged alike; an empty table gives no rows."""
     small_batches(spark)
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.selected(docs, quality.fit(docs, ratings), min_tail=0.8)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of smallest doc_id, and of rows that repeat one
-    doc_id and text a single one."""
+    """Keeps of each group of near duplicates the document of smallest doc_id.
+
+    Of rows that repeat one doc_id and text a single one stays. Rows of one doc_id with different texts
+    go only if each of these texts is a near duplicate of a smaller doc_id, so that no text is left without a
+    representative. Rows without doc_id stay; an empty table gives no rows.
+    """
     small_batches(spark)
-    groups = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    groups = jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.max("component_id").alias("last"), F.count("*").alias("rows"))
+    groups = saved(groups.where("doc_id is not null and (last < doc_id or rows > 1)"))
+    gone = groups.where("last < doc_id").select("doc_id")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = groups.where("last = doc_id").select("doc_id")
     if repeated.isEmpty():
         return kept.select(docs.columns)
     again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -48,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 1,024."""
+    """Packs the documents' tokens into sequences of 1,024; a null or empty text has its end token alone."""
     small_batches(spark)
     return packing.pack_documents(docs, BYTE_BPE, end_id=0, width=1024)
 
