@@ -531,7 +531,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         own = spark.createDataFrame([(bytearray(k), v) for k, v in clashes.items()], "digest binary, own long")
         rows = rows.join(F.broadcast(own), "digest", "left").withColumn("key", F.coalesce("own", "key"))
     keyed = rows.join(components(links), "key", "left").withColumn("component", F.coalesce("component", "key")).where("n > 0")
-    least = keyed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = keyed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = keyed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1")
+    # saved, so that the join has a plain exchange on both sides and a large component's rows can be split at run time
+    out = keyed.join(saved(least.select("component", "component_id")), "component", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
