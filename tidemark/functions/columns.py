@@ -102,14 +102,24 @@ def pattern_category(c1, c2, c3) -> Column:
     )
 
 
+# Names of the strata.
+SEIZURE_FREQUENCY = ["<1 seizure-day/month", "1 to <4 seizure-days/month", "4 to <10 seizure-days/month", ">=10 seizure-days/month"]
+CYCLE_REGULARITY = ["SD cycle length <2 days", "SD cycle length 2 to <4 days", "SD cycle length >=4 days"]
+
+
+def _banded(x: Column, cuts: list[float], names: list[str]) -> Column:
+    out = F.when(x.isNull() | F.isnan(x), "unknown")
+    for cut, name in zip(cuts, names, strict=False):
+        out = out.when(x < cut, name)
+    return out.otherwise(names[-1])
+
+
 def seizure_frequency_stratum(per_month) -> Column:
-    x = col(per_month)
-    return F.when(x.isNull() | F.isnan(x), "unknown").when(x < 1, "<1").when(x < 4, "1-<4").when(x < 10, "4-<10").otherwise(">=10")
+    return _banded(col(per_month), [1, 4, 10], SEIZURE_FREQUENCY)
 
 
 def cycle_regularity_stratum(sd) -> Column:
-    x = col(sd)
-    return F.when(x.isNull() | F.isnan(x), "unknown").when(x < 2, "<2").when(x < 4, "2-<4").otherwise(">=4")
+    return _banded(col(sd), [2, 4], CYCLE_REGULARITY)
 
 
 def holm_two(p1, p2) -> tuple[Column, Column]:
@@ -159,14 +169,16 @@ def finite_or_null(x) -> Column:
 
 
 def rate_ci_text(rate, low, high) -> Column:
-    """``12.3% (10.0-15.0%)``, null without a rate."""
-    part = lambda x: F.format_number(F.round(col(x) * 100, 1), "0.0")
-    return F.when(col(rate).isNotNull(), F.concat(part(rate), F.lit("% ("), part(low), F.lit("-"), part(high), F.lit("%)")))
+    """``12.3% (10.0, 15.0)``, ``NA`` without a rate."""
+    part = lambda x: F.bround(F.round(col(x) * 100, 6).cast("decimal(20,6)"), 1).cast("string")
+    return F.when(col(rate).isNotNull(), F.concat(part(rate), F.lit("% ("), part(low), F.lit(", "), part(high), F.lit(")"))).otherwise("NA")
 
 
 def window_label(kind, value) -> Column:
-    """``3 months``, ``6 cycles``; a full diary counts as 36 months."""
-    return F.when(col(kind) == "full", "36 months").when(col(kind) == "calendar", F.concat(col(value), F.lit(" months"))).otherwise(F.concat(col(value), F.lit(" cycles")))
+    """``1 month``, ``3 months``, ``6 cycles``; a full diary counts as 36 months, other kinds are named as they are."""
+    n = col(value).try_cast("double").cast("int")
+    many = lambda unit: F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s"))
+    return F.when(col(kind) == "full", "36 months").when(col(kind) == "calendar", many("month")).when(col(kind) == "cycle", many("cycle")).otherwise(F.concat(col(kind), F.lit(" "), col(value)))
 
 
 def window_order(kind, value) -> Column:
@@ -186,11 +198,15 @@ def age_band(age) -> Column:
     return out
 
 
+# pmol/L of estradiol in 1 pg/mL, nmol/L of progesterone in 1 ng/mL.
+PMOL_L_PER_PG_ML, NMOL_L_PER_NG_ML = 3.671, 3.18
+
+
 def estradiol_pg_ml(pmol_l) -> Column:
-    """pmol/L to pg/mL (molar mass 272.38)."""
-    return col(pmol_l) * F.lit(0.27238)
+    """pmol/L to pg/mL."""
+    return col(pmol_l) / F.lit(PMOL_L_PER_PG_ML)
 
 
 def progesterone_ng_ml(nmol_l) -> Column:
-    """nmol/L to ng/mL (molar mass 314.46)."""
-    return col(nmol_l) * F.lit(0.31446)
+    """nmol/L to ng/mL."""
+    return col(nmol_l) / F.lit(NMOL_L_PER_NG_ML)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -46,51 +46,105 @@ def assert_reconciled(left: DataFrame, right: DataFrame, keys: list[str], value:
     return left
 
 
+def _interval(df: DataFrame, total: str, rate: str = "false_positive_rate_classifiable") -> DataFrame:
+    low, high = C.wilson("positives", "n_classifiable")
+    df = df.withColumn(rate, F.try_divide("positives", "n_classifiable")).withColumn("wilson95_low", low).withColumn("wilson95_high", high)
+    return df.withColumn("positive_rate_all_attempted", F.try_divide("positives", total)) if total else df
+
+
+def _yes(c) -> Column:
+    return F.count_if(F.coalesce(C.col(c), F.lit(False)))
+
+
+def _json_counts(rows: DataFrame, key: list[str], reason: Column, name: str) -> DataFrame:
+    """Counts of a few fixed reasons as JSON text, in order of the reason."""
+    each = rows.groupBy(*key, reason.alias("_r")).agg(F.count("*").alias("_n"))
+    return each.groupBy(*key).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_r", "_n"))))).alias(name))
+
+
 def c3_window_sensitivity(windows: DataFrame) -> DataFrame:
-    """By population window: where C3 applies, labels and rate, and reasons as a JSON map."""
+    """By strict population window: where C3 applies, labels and rates among these, and why labels are missing."""
     rows = windows.where("cohort = 'population' and phase_mode = 'strict_herzog'")
     key = ["window_type", "window_value"]
-    out = rows.groupBy(*key).agg(F.count("*").alias("n_attempted"), F.count_if("c3_applicable_flag").alias("n_applicable"), F.count("label_A_windowed_C3").alias("n_classifiable"), F.count_if(F.coalesce("label_A_windowed_C3", F.lit(False))).alias("positives"))
-    why = rows.where("c3_applicable_flag and label_A_windowed_C3 is null").groupBy(*key, F.coalesce("reason_C3", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
-    why = why.groupBy(*key).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n"))))).alias("reasons"))  # a few fixed reasons
-    return out.join(why, key, "left").withColumn("reasons", F.coalesce("reasons", F.lit("{}"))).withColumn("rate", F.try_divide("positives", "n_classifiable"))
-
-
-def minimum_data_sensitivity(windows: DataFrame, least: tuple[int, ...] = (2, 3, 4, 6)) -> DataFrame:
-    """Rates of definition A if windows need so many event days."""
-    rows = windows.where("phase_mode = 'strict_herzog'").withColumn("min_days", F.explode(F.array(*map(F.lit, least))))
-    ok = F.expr("try_cast(seizure_days_total as double)") >= F.col("min_days")
-    label = F.when(ok, F.col("label_A_windowed_any"))
-    out = rows.groupBy("cohort", "window_type", "window_value", "min_days").agg(F.count("*").alias("n_total"), F.count(label).alias("n_classifiable"), F.count_if(F.coalesce(label, F.lit(False))).alias("positives"))
-    return out.withColumn("rate", F.try_divide("positives", "n_classifiable"))
-
-
-def driver_analysis(df: DataFrame, features: list[str], outcomes: list[str], bins: int = 5) -> DataFrame:
-    """Rates of outcomes by quantile bins of continuous features within each cohort (bins closed on the right, equal
-    edges merged; cohorts with under 10 values or 2 distinct ones left out)."""
-    pairs = ", ".join(f"'{f}', cast({f} as double)" for f in features)
-    marks = ", ".join(f"'{o}', {o}" for o in outcomes)
+    on, label = F.coalesce("c3_applicable_flag", F.lit(False)), F.col("label_A_windowed_C3")
+    out = rows.groupBy(*key).agg(F.count("*").alias("n_attempted"), F.count_if(on).alias("n_applicable"), F.count(F.when(on, label)).alias("n_classifiable"), _yes(F.when(on, label)).alias("positives"))
+    why = _json_counts(rows.where(on & label.isNull()), key, F.coalesce("a_windowed_reason", F.lit("unspecified")), "indeterminate_reasons")
+    out = _interval(out.join(why, key, "left"), "n_attempted").withColumn("cohort", F.lit("population"))
+    return out.withColumn("indeterminate_reasons", F.coalesce("indeterminate_reasons", F.lit("{}")))
+
+
+def minimum_data_sensitivity(windows: DataFrame, least: tuple[int, ...] = (2, 3, 4, 6), months: int = 4, cycles: int = 6) -> DataFrame:
+    """Rates of C1 or C2 if windows need so many event days, and calendar windows ``months``, cycle windows ``cycles``
+    (full diaries are long enough)."""
+    rows = windows.where("phase_mode = 'strict_herzog'").withColumn("min_seizure_days", F.explode(F.array(*map(F.lit, least))))
+    size = F.col("window_value").try_cast("double")
+    long_enough = ((F.col("window_type") == "calendar") & (size >= months)) | ((F.col("window_type") == "cycle") & (size >= cycles)) | (F.col("window_type") == "full")
+    ok = F.coalesce(long_enough & (F.col("seizure_days_total").try_cast("double") >= F.col("min_seizure_days")), F.lit(False))
+    label = F.when(ok, F.col("label_A_windowed_C1_or_C2"))
+    out = rows.groupBy("min_seizure_days", "cohort", "window_type", "window_value").agg(
+        F.count("*").alias("n_attempted"), F.count_if(ok).alias("n_meeting_minimum"), F.count(label).alias("n_classifiable"), _yes(label).alias("positives"))
+    return _interval(out, "n_attempted")
+
+
+def c3_nb_summary(fits: DataFrame, windows: DataFrame, threshold: float = 1.62, p_value: float = 0.05) -> DataFrame:
+    """One row over the C3 fits (``participant_id, label_D_C3_exploratory, d_c3_reason``) of population participants beside
+    their full windows: how many apply, are classifiable and positive, and why the others are not."""
+    full = assert_unique_key(windows.where("cohort = 'population' and phase_mode = 'strict_herzog' and window_type = 'full'").select("participant_id", "c3_applicable_flag"), "participant_id")
+    both = assert_unique_key(fits.where("cohort = 'population'"), "participant_id").join(full, "participant_id", "left").withColumn("_all", F.lit(1))
+    label = "label_D_C3_exploratory"
+    out = both.groupBy("_all").agg(F.count("*").alias("n_attempted_audit_participants"), _yes("c3_applicable_flag").alias("n_ratio_c3_applicable"), F.count(label).alias("n_classifiable"), _yes(label).alias("positives"))
+    why = _json_counts(both, ["_all"], F.coalesce("d_c3_reason", F.lit("classifiable")), "reason_counts")
+    out = _interval(out.join(why, "_all"), "n_attempted_audit_participants").drop("_all").withColumnRenamed("n_classifiable", "n_nb_classifiable")
+    return out.withColumn("effect_threshold", F.lit(threshold)).withColumn("p_threshold_one_sided", F.lit(p_value))
+
+
+#: Outcomes, continuous and binary features that the driver analysis reports.
+OUTCOMES = ["label_A_windowed_any", "label_A_windowed_C1_or_C2", "label_A_windowed_C3"]
+CONTINUOUS = ["age", "seizure_days_per_month", "seizures_per_month", "mean_cycle_length", "sd_cycle_length", "ovulatory_fraction", "dominant_seizure_cycle_days"]
+BINARY = ["pcos", "peri_menarche", "perimenopause"]
+
+
+def driver_analysis(df: DataFrame, features: list[str] = CONTINUOUS, outcomes: list[str] = OUTCOMES, binary: list[str] = BINARY, bins: int = 5) -> DataFrame:
+    """Rates of outcomes by quantile bins of continuous features and by value of binary ones, within each cohort.
+
+    Bins are closed on the right, equal edges merged; features with under 10 values or 2 distinct ones in a cohort are left
+    out there, and C3 outside the population. ``level`` is the bin's number or the value; ``lower`` and ``upper`` its edges. Values
+    and edges are rounded to 9 decimals, so that a value does not cross an edge by the order of a sum.
+    """
+    pairs = ", ".join(f"'{f}', round(cast({f} as double), 9)" for f in features)
     long = df.select("cohort", *outcomes, F.expr(f"stack({len(features)}, {pairs}) as (feature, value)")).where("value is not null")
     cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     edges = long.groupBy("cohort", "feature").agg(F.percentile("value", cuts).alias("edges"), F.count("*").alias("n"), F.countDistinct("value").alias("d")).where("n >= 10 and d >= 2")
-    edges = edges.select("cohort", "feature", F.array_distinct("edges").alias("edges"))
+    edges = edges.select("cohort", "feature", F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))).alias("edges"))
     both = long.join(F.broadcast(edges), ["cohort", "feature"])  # a row for each cohort and feature
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    both = both.withColumn("bin", F.greatest(below, F.lit(1))).withColumn("lower", F.expr("edges[bin - 1]")).withColumn("upper", F.expr("edges[bin]"))
-    out = both.select("cohort", "feature", "bin", "lower", "upper", F.expr(f"stack({len(outcomes)}, {marks}) as (outcome, label)"))
-    out = out.groupBy("cohort", "feature", "bin", "lower", "upper", "outcome").agg(F.count("*").alias("n_total"), F.count("label").alias("n_classifiable"), F.count_if(F.coalesce("label", F.lit(False))).alias("positives"))
-    low, high = C.wilson("positives", "n_classifiable")
-    return out.withColumn("rate", F.try_divide("positives", "n_classifiable")).withColumn("wilson_low", low).withColumn("wilson_high", high)
+    bin_ = F.greatest(F.size(F.filter("edges", lambda e: e < F.col("value"))), F.lit(1))
+    both = both.withColumn("bin", bin_).select("cohort", "feature", F.col("bin").cast("string").alias("level"), F.expr("edges[bin - 1]").alias("lower"), F.expr("edges[bin]").alias("upper"), *outcomes)
+    if binary:
+        pairs = ", ".join(f"'{f}', cast({f} as boolean)" for f in binary)
+        own = df.select("cohort", *outcomes, F.expr(f"stack({len(binary)}, {pairs}) as (feature, value)")).where("value is not null")
+        nothing = F.lit(None).cast("double")
+        both = both.unionByName(own.select("cohort", "feature", F.col("value").cast("string").alias("level"), nothing.alias("lower"), nothing.alias("upper"), *outcomes))
+    counts = [x for i, o in enumerate(outcomes) for x in (F.count(o).alias(f"_n{i}"), _yes(o).alias(f"_p{i}"))]
+    key = ["cohort", "feature", "level", "lower", "upper"]
+    marks = ", ".join(f"'{o}', _n{i}, _p{i}" for i, o in enumerate(outcomes))
+    out = both.groupBy(*key).agg(F.count("*").alias("n_group"), *counts).select(*key, "n_group", F.expr(f"stack({len(outcomes)}, {marks}) as (outcome, n_classifiable, positives)"))
+    return _interval(out.where("outcome <> 'label_A_windowed_C3' or cohort = 'population'"), "", "rate")
 
 
 def audit_features(daily: DataFrame) -> DataFrame:
-    """Variance over mean, and how much likelier an event day is after an event day; a row a participant."""
+    """A row a participant: variance over mean of the counts, how much likelier an event day is after an event day, the dominant
+    period, and length, ovulation and ILP over the cycles."""
     by = Window.partitionBy("participant_id").orderBy("calendar_day_index")
     nxt = daily.withColumn("next_day", F.lead("seizure_day").over(by))
     out = nxt.groupBy("participant_id").agg(
-        F.avg("seizure_count").alias("m"), F.var_samp("seizure_count").alias("v"), F.avg(F.when(F.col("seizure_day") == 1, F.col("next_day"))).alias("after"), F.avg("seizure_day").alias("base"),
-        F.avg(F.col("ilp_flag").cast("int")).alias("ilp_fraction"))
-    return out.select("participant_id", F.try_divide("v", "m").alias("dispersion"), (F.col("after") - F.col("base")).alias("lag_excess"), "ilp_fraction")
+        F.max("cohort").alias("cohort"), F.avg("seizure_count").alias("m"), F.var_samp("seizure_count").alias("v"), F.avg(F.when(F.col("seizure_day") == 1, F.col("next_day"))).alias("after"), F.avg("seizure_day").alias("base"))
+    cycles = daily.groupBy("participant_id", "cycle_id").agg(F.min_by("cycle_length", "calendar_day_index").alias("len"), F.min_by("ovulatory_flag", "calendar_day_index").cast("int").alias("ov"), F.max(F.col("ilp_flag").cast("int")).alias("ilp"))
+    cycles = cycles.groupBy("participant_id").agg(
+        F.avg("len").alias("audit_mean_cycle_length"), F.stddev_samp("len").alias("audit_sd_cycle_length"), F.avg("ov").alias("audit_ovulatory_fraction"), F.avg("ilp").alias("audit_ilp_fraction"), F.count("*").alias("n_audit_cycles"))
+    out = out.join(cycles, "participant_id").join(dominant_period(daily), "participant_id", "left")
+    return out.select(
+        "participant_id", "cohort", F.try_divide("v", "m").alias("daily_count_overdispersion"), (F.col("after") - F.col("base")).alias("next_day_cluster_propensity"),
+        F.col("period_days").alias("spectral_dominant_period_days"), F.col("amplitude").alias("spectral_amplitude_seizures_per_day"), *cycles.columns[1:])
 
 
 def dominant_period(daily: DataFrame, longest: int = 365) -> DataFrame:
@@ -142,8 +196,50 @@ def winsorized_histogram(windows: DataFrame, value: str, bins: int = 35) -> Data
     return out.select("cohort", "bin", "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
 
 
-def modifier_prevalence(participants: DataFrame) -> DataFrame:
-    return participants.groupBy("cohort").agg(F.count("*").alias("n"), F.avg((F.col("ovulatory_fraction") < 1).cast("int")).alias("any_anovulatory"), F.avg((F.col("sd_cycle_length") >= 4).cast("int")).alias("irregular"), F.avg((F.col("mean_cycle_length") < 24).cast("int")).alias("short_mean"))
+def age_histogram(participants: DataFrame, bins: int = 30) -> DataFrame:
+    """Density of ages in equal bins between the least and the largest of each cohort, the last closed."""
+    rows = participants.select("cohort", F.col("age").cast("double").alias("v")).where("v is not null")
+    edge = rows.groupBy("cohort").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
+    width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(bins))
+    each = rows.join(F.broadcast(edge), "cohort")  # a row a cohort
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)).cast("int"), F.lit(bins - 1)), F.lit(0))
+    out = each.groupBy("cohort", at.alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
+    return out.select("cohort", "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
+
+
+def modifier_prevalence(participants: DataFrame, modifiers: list[str] = BINARY) -> DataFrame:
+    """Share of each cohort with each modifier."""
+    return participants.groupBy("cohort").agg(F.count("*").alias("n"), *[F.avg(F.col(m).cast("int")).alias(m) for m in modifiers])
+
+
+def prevalence_histogram(studies: DataFrame, bins: int = 30) -> DataFrame:
+    """Shares of simulated studies by apparent prevalence among all participants, for each cohort and study size: of
+    ``A_windowed_any``, strict labelling (of all definitions if it is not there)."""
+    strict = studies.where("phase_mode = 'strict_herzog'")
+    main = strict.where("definition = 'A_windowed_any'")
+    return histogram(strict if main.isEmpty() else main, "prevalence_all", bins, 0.0, 1.0, "cohort", "n_participants")
+
+
+#: Definitions of the frontier and of the comparison with historical ones.
+SHOWN = ["A_windowed_any", "A_windowed_C1_or_C2", "B_minimum_data_C1_or_C2", "D_nb_regression_C1_or_C2", "H1_newmark_penry_any", "H2_duncan1993_any", "H3_herzog1997_twofold_any", "H4_reddy2007_any_phase2x_any"]
+
+
+def _shown(summary: DataFrame) -> DataFrame:
+    rows = summary.where("table_type = 'window_false_positive' and subset = 'all' and false_positive_rate is not null")
+    return rows.where(F.col("definition").isin(SHOWN))
+
+
+def frontier(summary: DataFrame) -> DataFrame:
+    """A point (indeterminate rate, false-positive rate) for every window kind and phase mode of the shown definitions."""
+    return _shown(summary).select("definition", "cohort", "phase_mode", "window_type", "window_value", "indeterminate_rate", "false_positive_rate")
+
+
+def core_vs_historical(summary: DataFrame) -> DataFrame:
+    """Mean rate of each shown definition and cohort over the three-month windows, over all windows if there are none."""
+    rows = _shown(summary)
+    three = rows.where("window_type = 'calendar' and window_value = '3'")
+    rows = rows if three.isEmpty() else three
+    return rows.groupBy("cohort", "definition", "assumption_based_historical").agg(F.avg("false_positive_rate").alias("false_positive_rate"))
 
 
 def stacked_composition(windows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .resample import hash_ranked
 
 DAY = ["participant_id", "calendar_day_index"]
 MODES = ("strict_herzog", "modified_short_cycle")
@@ -133,11 +134,8 @@ def inject_enrichment(daily: DataFrame, target: str = "M", rate_ratio: float = 1
 
 def audit_sample(participants: DataFrame, fraction: float = 0.01, seed: int = 1) -> DataFrame:
     """``max(1, round(n x fraction))`` participants of each cohort, by hash order."""
-    # the hash is uniform, so ranks are needed only within it; one row a participant
-    order = Window.partitionBy("cohort").orderBy(C.stable_hash(seed, "participant_id"), "participant_id")
-    n = F.count("*").over(Window.partitionBy("cohort"))
-    take = F.greatest(F.lit(1), F.bround(n * F.lit(float(fraction))))
-    return participants.withColumn("_r", F.row_number().over(order)).withColumn("_k", take).where("_r <= _k").drop("_r", "_k")
+    take = F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(float(fraction))))
+    return hash_ranked(participants, ["cohort"], C.stable_hash(seed, "participant_id"), "participant_id", take).drop("_rank")
 
 
 def participant_summary(daily: DataFrame) -> DataFrame:

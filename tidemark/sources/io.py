@@ -43,7 +43,8 @@ def write_outputs(tables: dict[str, DataFrame], summary: DataFrame, path: str, p
 
 def _write(df: DataFrame, path: str, partition: str) -> None:
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition in df.columns else writer).parquet(path)
+    # a table without rows would leave no file, and so no schema, in folders by value
+    (writer.partitionBy(partition) if partition in df.columns and not df.isEmpty() else writer).parquet(path)
 
 
 def read_result_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
