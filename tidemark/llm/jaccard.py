@@ -262,9 +262,10 @@ def over_parts(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
 def over_tokens(rows: DataFrame, of: dict[str, Column], split: bool) -> DataFrame:
     """``rows`` with aggregates over all rows of their token. ``split``: whether any token has several parts; what
     is found in these is then combined and joined back to each part. ``rows`` are read twice; save them first."""
-    each = over_parts(rows, of)
     if not split:
-        return each.drop("sub")
+        here = Window.partitionBy("token")
+        return rows.select("*", *(OVER[name](x).over(here).alias(name) for name, x in of.items()))
+    each = over_parts(rows, of)
     whole = rows.where("parts > 1").groupBy("token", "parts").agg(*(OVER[name](x).alias(f"all_{name}") for name, x in of.items()))
     whole = whole.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
     joined = each.join(whole, ["token", "sub"], "left")
@@ -498,9 +499,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     classes, clashes = _classes(survey), _key_clashes(rows)
     met = _prefixes(docs, words, percent, classes, clashes)
     ends = {"low": F.col("key"), "high": F.col("key"), "size": F.lit(1).cast("long")}
-    columns = ["token", "key", "n", "parts"]
-    met = saved(over_parts(met, ends).where("low <> high or parts > 1").select(*columns, "size"))
+    met = saved(over_parts(met, ends).where("low <> high or parts > 1").select("token", "key", "n", "parts", "size"))
     split = not met.where("parts > 1").isEmpty()
+    columns = ["token", "key", "n", *(["parts"] if split else [])]
 
     def shared(rows: DataFrame) -> DataFrame:
         return saved(over_tokens(rows.select(columns), ends, split).where("low <> high").select(*columns, "size"))
@@ -521,7 +522,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     links = saved(_linked(bodies, first, words, percent))
 
     joined = components(links)
-    named = met.select("token", "key", "n", "parts").distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = met.select(columns).distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = over_tokens(named, {"low": F.col("component"), "high": F.col("component")}, split).where("low <> high").select("token", "key", "n", "component")
     pairs = _tree_pairs(saved(named), _bitmaps(bodies, words), percent)
     links = links.unionByName(_linked(bodies, saved(pairs), words, percent))
