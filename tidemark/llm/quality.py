@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +97,15 @@ class Ordinal:
         """Maximum likelihood with a squared penalty, by Adam over all rows. Thresholds stay
         ordered because the steps between them are exponentials."""
         used = telling(rows, grades, n_grades)
-        place = np.full(1 << BITS, -1)
-        place[used] = np.arange(len(used))
-        cols = [x[x >= 0] for x in (place[r] for r in rows)]
-        row, col = np.repeat(np.arange(len(rows)), np.fromiter(map(len, cols), np.int64, len(cols))), np.concatenate([*cols, np.zeros(0, np.int64)])
+        place = np.full(1 << BITS, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        some_rows, some_cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for a in range(0, len(rows), COUNT_ROWS):  # few large arrays instead of one a row
+            part = rows[a : a + COUNT_ROWS]
+            col = place[np.concatenate(part)]
+            row = np.repeat(np.arange(a, a + len(part), dtype=np.int32), np.fromiter(map(len, part), np.int64, len(part)))
+            some_rows.append(row[col >= 0]), some_cols.append(col[col >= 0])
+        row, col = np.concatenate(some_rows), np.concatenate(some_cols)
         k = n_grades - 1
         share = np.clip([(grades >= j).mean() if len(grades) else 0.5 for j in range(1, k + 1)], 1e-3, 1 - 1e-3)
         cut = -np.log(share / (1 - share))
@@ -161,7 +167,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int
     flat, bound = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
     rows = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
     grades = got.column("grade").to_numpy().astype(np.int64)
-    order = sorted(range(len(rows)), key=lambda i: (grades[i], rows[i].tobytes()))  # the same for any order of rows
+    order = sorted(range(len(rows)), key=lambda i: (grades[i], xxhash.xxh3_128_digest(rows[i])))  # the same for any order of rows
     return Ordinal.fit([rows[i] for i in order], grades[order], n_grades)
 
 
