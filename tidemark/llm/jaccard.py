@@ -443,8 +443,9 @@ def _bitmaps(bodies: DataFrame, words: int) -> DataFrame:
 
 def _tree_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """``leader, key`` of pairs from the groups (``token, key, n, component``) that pass the signature trees."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("rows"))
-    dealt = rows.join(sizes, "token").withColumn("blocks", F.ceil(F.col("rows") / GROUP_ROWS).cast("int"))
+    # saved, so that the join has a plain exchange on both sides and a large group's rows can be split at run time
+    large = saved(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS))
+    dealt = rows.join(large, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / GROUP_ROWS).cast("int"), F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "n", "component")
     met = dealt.join(bitmaps, "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
