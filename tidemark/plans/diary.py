@@ -1,24 +1,65 @@
-"""A daily diary derived from the order tables: suppliers are participants, returned line items are events."""
+"""Daily diaries derived from the order tables: returned line items are a supplier's events.
+
+The table's ship dates, from its first to its last, are cut into diaries of up to 1,080 days, so that every returned
+line is a day's event of one diary. The diary from 1996-01-01 has its supplier's key as participant; the others are
+participants of their own, of the same cohort. The first and last diaries are as long as the dates go. Lines without a
+ship date have no day; without any ship date there are no diaries.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import diary as D
 
 DAYS = 1080
 CYCLES = 60
+ANCHOR = "1996-01-01"
+#: Between the participants of a supplier's diaries; even and a multiple of five, as cohorts go by parity and further events by fifths.
+STRIDE = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a participant and generated cycle, with its first day (may lie before day 1)."""
+def _shift(period: Column) -> Column:
+    """What a diary of a period adds to its supplier's key: nothing for period 0, then periods -1, 1, -2, 2, ..."""
+    return F.when(period < 0, -2 * period - 1).otherwise(2 * period).cast("long") * STRIDE
+
+
+def _period(date: Column) -> Column:
+    return F.floor(F.datediff(date, F.lit(ANCHOR).cast("date")) / F.lit(DAYS)).cast("int")
+
+
+def _begins(period: Column, first: Column) -> Column:
+    """The first date of a period's diary: not before the table's first."""
+    return F.greatest(F.date_add(F.lit(ANCHOR).cast("date"), period * DAYS), first)
+
+
+def _ends(period: Column, last: Column) -> Column:
+    return F.least(F.date_add(F.lit(ANCHOR).cast("date"), period * DAYS + (DAYS - 1)), last)
+
+
+def _bound(spark: SparkSession, sf_dir: str, bound: Callable[[Column], Column]) -> Column:
+    """The table's first or last ship date, as a scalar subquery."""
+    return table(spark, sf_dir, "lineitem").agg(bound(F.col("l_shipdate").cast("date"))).scalar()
+
+
+def diaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a participant with its supplier's key and its diary's number of days."""
+    dated = table(spark, sf_dir, "supplier").select("s_suppkey", _bound(spark, sf_dir, F.min).alias("first"), _bound(spark, sf_dir, F.max).alias("last"))
+    each = dated.withColumn("period", F.explode(F.sequence(_period(F.col("first")), _period(F.col("last")))))
+    days = F.datediff(_ends(F.col("period"), F.col("last")), _begins(F.col("period"), F.col("first"))) + 1
+    return each.select("s_suppkey", (F.col("s_suppkey") + _shift(F.col("period"))).alias("participant_id"), days.alias("diary_days"))
+
+
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid, k = F.col("participant_id"), F.col("cycle_id")
-    each = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("participant_id")).withColumn("cycle_id", F.explode(F.sequence(F.lit(1), F.lit(CYCLES))))
+    each = diaries(spark, sf_dir).drop("s_suppkey").withColumn("cycle_id", F.explode(F.sequence(F.lit(1), F.lit(CYCLES))))
     length = (21 + F.pmod(pid * 7 + k * 5, F.lit(16))).cast("int")
     first = (21 + F.pmod(pid * 7 + 5, F.lit(16))).cast("int")
     earlier = F.sum("cycle_length").over(Window.partitionBy("participant_id").orderBy("cycle_id")) - F.col("cycle_length")
@@ -26,13 +67,18 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ovulatory = (F.col("cohort") == "healthy_ovulatory") | (F.pmod(pid + k, F.lit(4)) != 0)
     out = each.withColumn("cycle_length", length).withColumn("cycle_start", (earlier - F.pmod(pid * 5, first) + 1).cast("int")).withColumn("cohort", cohort)
     out = out.withColumn("ovulatory_flag", ovulatory).withColumn("ovulation_day", F.when(F.col("ovulatory_flag"), F.col("cycle_length") - 13).otherwise(0))
-    return out.withColumn("cycle_stage", F.when(F.col("ovulatory_flag"), "ovulatory").otherwise("anovulatory")).where(f"cycle_start <= {DAYS}")
+    return out.withColumn("cycle_stage", F.when(F.col("ovulatory_flag"), "ovulatory").otherwise("anovulatory")).where("cycle_start <= diary_days")
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a participant and generated cycle, with its first day (may lie before day 1)."""
+    return _cycles(spark, sf_dir).drop("diary_days")
 
 
 def cycle_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cycle diary: dense days 1..1080 with hormone curves."""
-    c = cycles(spark, sf_dir)
-    day = F.explode(F.sequence(F.greatest("cycle_start", F.lit(1)), F.least(F.col("cycle_start") + F.col("cycle_length") - 1, F.lit(DAYS))))
+    """The cycle diary: dense days from 1 with hormone curves."""
+    c = _cycles(spark, sf_dir)
+    day = F.explode(F.sequence(F.greatest("cycle_start", F.lit(1)), F.least(F.col("cycle_start") + F.col("cycle_length") - 1, F.col("diary_days"))))
     out = c.withColumn("calendar_day_index", day).withColumn("cycle_day", F.col("calendar_day_index") - F.col("cycle_start") + 1)
     pid, k, d, ov = F.col("participant_id"), F.col("cycle_id"), F.col("cycle_day"), F.col("ovulation_day")
     amp = 3 + F.pmod(pid * 3 + k * 2, F.lit(10))
@@ -45,14 +91,16 @@ def cycle_days(spark: SparkSession, sf_dir: str) -> DataFrame:
             "uterine_bleeding": (d <= 3 + F.pmod(pid + k, F.lit(3))).cast("int"),
             "age": 13 + F.pmod(pid * 37, F.lit(410)) / F.lit(10.0),
         }
-    ).drop("cycle_start")
+    ).drop("cycle_start", "diary_days")
 
 
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by participant and day (days without events are absent)."""
-    day = F.datediff(F.col("l_shipdate"), F.lit("1996-01-01").cast("date")) + 1
-    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("participant_id"), day.alias("calendar_day_index"))
-    return items.where(f"calendar_day_index between 1 and {DAYS}").groupBy("participant_id", "calendar_day_index").agg(F.count("*").alias("n"))
+    shipped = F.col("l_shipdate").cast("date")
+    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_shipdate is not null").select("l_suppkey", shipped.alias("day"))
+    items = items.groupBy("l_suppkey", "day").agg(F.count("*").alias("n")).withColumns({"period": _period(F.col("day")), "first": _bound(spark, sf_dir, F.min)})
+    index = F.datediff(F.col("day"), _begins(F.col("period"), F.col("first"))) + 1
+    return items.select((F.col("l_suppkey") + _shift(F.col("period"))).alias("participant_id"), index.alias("calendar_day_index"), "n")
 
 
 def event_diary(spark: SparkSession, sf_dir: str) -> DataFrame:

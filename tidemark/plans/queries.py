@@ -1067,7 +1067,7 @@ def irregular_by_age(spark, sf):
 
 def _share_sql(share: float) -> str:
     """All checks of the participants below a share of the hash range, as a query of its own."""
-    inner = _BASE.replace("FROM supplier", f"FROM (SELECT * FROM supplier WHERE {Q.sha('s_suppkey')} < {share} * 4294967296)")
+    inner = _BASE.replace("FROM supplier, per)", f"FROM supplier, per WHERE {Q.sha('s_suppkey + shift')} < {share} * 4294967296)")
     return f"SELECT {share}::DOUBLE AS share, * FROM ({inner} SELECT * FROM base)"
 
 

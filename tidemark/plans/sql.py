@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 CYC = """
-cyc0 AS (SELECT s_suppkey AS participant_id, k::INT AS cycle_id, (21 + (s_suppkey*7 + k*5) % 16)::INT AS cycle_length,
-    CASE WHEN s_suppkey % 2 = 0 THEN 'healthy_ovulatory' ELSE 'population' END AS cohort FROM supplier, generate_series(1, 60) g(k)),
+ship AS (SELECT min(l_shipdate::DATE) AS first, max(l_shipdate::DATE) AS last FROM lineitem),
+per AS (SELECT p, CASE WHEN p < 0 THEN -2*p - 1 ELSE 2*p END::BIGINT * 1000000000 AS shift, greatest(DATE '1996-01-01' + p*1080, first) AS begins, least(DATE '1996-01-01' + p*1080 + 1079, last) AS ends
+    FROM (SELECT unnest(generate_series(floor((first - DATE '1996-01-01') / 1080.0)::BIGINT, floor((last - DATE '1996-01-01') / 1080.0)::BIGINT))::INT AS p, first, last FROM ship)),
+dia AS (SELECT s_suppkey + shift AS participant_id, (ends - begins + 1)::INT AS diary_days FROM supplier, per),
+cyc0 AS (SELECT participant_id, diary_days, k::INT AS cycle_id, (21 + (participant_id*7 + k*5) % 16)::INT AS cycle_length,
+    CASE WHEN participant_id % 2 = 0 THEN 'healthy_ovulatory' ELSE 'population' END AS cohort FROM dia, generate_series(1, 60) g(k)),
 cyc AS (SELECT *, CASE WHEN ovulatory_flag THEN cycle_length - 13 ELSE 0 END AS ovulation_day, CASE WHEN ovulatory_flag THEN 'ovulatory' ELSE 'anovulatory' END AS cycle_stage FROM (
     SELECT *, (sum(cycle_length) OVER (PARTITION BY participant_id ORDER BY cycle_id) - cycle_length - (participant_id*5) % (21 + (participant_id*7 + 5) % 16) + 1)::INT AS cycle_start,
-    (cohort = 'healthy_ovulatory' OR (participant_id + cycle_id) % 4 <> 0) AS ovulatory_flag FROM cyc0) WHERE cycle_start <= 1080)"""
+    (cohort = 'healthy_ovulatory' OR (participant_id + cycle_id) % 4 <> 0) AS ovulatory_flag FROM cyc0) WHERE cycle_start <= diary_days)"""
 DAYS = (
     CYC
     + """,
-cd0 AS (SELECT cyc.*, d::INT AS calendar_day_index, (d - cycle_start + 1)::INT AS cycle_day FROM cyc, generate_series(1, 1080) g(d) WHERE d >= cycle_start AND d < cycle_start + cycle_length),
-cd AS (SELECT * EXCLUDE (cycle_start), (cycle_day = 1)::INT AS menses_onset_flag,
+cd0 AS (SELECT cyc.*, d::INT AS calendar_day_index, (d - cycle_start + 1)::INT AS cycle_day FROM cyc, generate_series(1, 1080) g(d) WHERE d <= diary_days AND d >= cycle_start AND d < cycle_start + cycle_length),
+cd AS (SELECT * EXCLUDE (cycle_start, diary_days), (cycle_day = 1)::INT AS menses_onset_flag,
     CASE WHEN ovulatory_flag THEN 0.5::DOUBLE + (3 + (participant_id*3 + cycle_id*2) % 10) * greatest(0::DOUBLE, 1 - abs(cycle_day - (ovulation_day + 6)) / 7.0::DOUBLE) ELSE 0.5::DOUBLE END AS progesterone,
     CASE WHEN ovulatory_flag THEN 40::DOUBLE + 200 * greatest(0::DOUBLE, 1 - abs(cycle_day - (ovulation_day - 1)) / 5.0::DOUBLE) + 100 * greatest(0::DOUBLE, 1 - abs(cycle_day - (ovulation_day + 7)) / 6.0::DOUBLE) ELSE 40::DOUBLE END AS estradiol,
     (cycle_day <= 3 + (participant_id + cycle_id) % 3)::INT AS uterine_bleeding, 13 + ((participant_id*37) % 410) / 10.0::DOUBLE AS age FROM cd0),
-evd AS (SELECT l_suppkey AS participant_id, datediff('day', DATE '1996-01-01', l_shipdate::DATE) + 1 AS calendar_day_index, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+evd AS (SELECT l_suppkey + shift AS participant_id, l_shipdate::DATE - begins + 1 AS calendar_day_index, count(*) AS n FROM lineitem JOIN per ON l_shipdate::DATE BETWEEN begins AND ends WHERE l_returnflag = 'R' GROUP BY 1, 2),
 ilp0 AS (SELECT participant_id, cycle_id, max(progesterone) AS whole, max(CASE WHEN cycle_day BETWEEN ovulation_day + 5 AND ovulation_day + 9 THEN progesterone END) AS mid,
     max(CASE WHEN cycle_day > ovulation_day THEN progesterone END) AS late, bool_or(ovulatory_flag AND ovulation_day > 0) AS ovulated FROM cd GROUP BY 1, 2),
 ilp AS (SELECT participant_id, cycle_id, CASE WHEN ovulated THEN coalesce(mid, late) ELSE whole END AS mid_luteal_progesterone,
