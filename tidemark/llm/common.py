@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,3 +94,13 @@ class Members:
     def may_hold(self, key: int) -> bool:
         at = key % (1 << self.bits)
         return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a compressed Parquet table in the shared folder and read back; cuts the lineage as :func:`saved` does."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        saved(df.sparkSession.range(1))  # makes sure that a shared folder is set
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

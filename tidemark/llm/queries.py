@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, fingerprints, jaccard, langid, packing, quality, sharding, token_counts, token_files
+from . import alignment, ann, bpe_codec, fingerprints, jaccard, langid, negatives, packing, quality, secret_scan, sharding, token_counts, token_files
 from .common import small_batches
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,31 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, ratings), min_tail=0.8)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+    rules = [k for k in secret_scan.KINDS if k != secret_scan.NAMED]
+    base = F.filter("found", lambda x: x["kind"].isin(rules))
+    n = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in rules]
+    return found.select("doc_id", *n, F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"), secret_scan.spelled(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op3_hilbert_shards, op4_canonical_digest, op5_hnsw, op6_token_counts, op7_token_files, op8_packing, op9_jaccard_join, op10_ordinal_quality)}
+    own = (
+        op1_language_id, op2_bpe_round_trip, op3_hilbert_shards, op4_canonical_digest, op5_hnsw, op6_token_counts, op7_token_files, op8_packing, op9_jaccard_join,
+        op10_ordinal_quality, op11_alignment, op12_hard_negatives, op13_secret_scan,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
