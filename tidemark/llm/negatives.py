@@ -26,6 +26,8 @@ PRIMES = (1021, 1019, 1013, 1009, 997, 991, 983, 977)
 INNER = 64
 #: Anchors that one task holds, and rows and anchors multiplied at once.
 ANCHOR_BLOCK, TILE_ROWS, TILE_ANCHORS = 8_192, 4_096, 512
+#: Parts of the rows, each of which meets each block in a task of its own. What tasks give grows with it, so it depends on nothing else.
+PARTS = 32
 #: Squared norms from here on leave the range of a score.
 NORM_LIMIT = 2.0**62
 
@@ -196,17 +198,15 @@ def _scan(k: int, positive: bool, primes: tuple[int, ...], windows: int):
 
 def _searched(rows: DataFrame, anchors: DataFrame, k: int, windows: int, blocks: int, primes: tuple[int, ...], positive: bool) -> DataFrame:
     """``number, window, vec_id, score``: up to ``k`` for each anchor, window and task."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = saved(anchors.groupBy("dim", "block").applyInArrow(_pack, PACKED))
-    held = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
+    held = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("kind", F.lit(0))
     sent = rows.select(
-        "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", "label"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"),
+        "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", "label"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"),
         "vec_id", "label", "vector",
     )
     key = ["dim", "block", "part"]
     met = held.unionByName(sent, allowMissingColumns=True)
-    met = met.repartition(parts * blocks, *key).sortWithinPartitions(*key, "kind")
+    met = met.repartition(PARTS * blocks, *key).sortWithinPartitions(*key, "kind")
     return met.mapInArrow(_scan(k, positive, primes, windows), "number long, window int, vec_id long, score long")
 
 
