@@ -184,10 +184,23 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def own_type(vectors: DataFrame) -> str:
+    """Components keep their precision: float stays float, all else is double."""
+    return "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Rows as float32 for the graph; doubles are first scaled by one number for all, which leaves the order of products."""
+    if x.dtype == np.float32:
+        return x
+    most = np.abs(x).max(initial=0)
+    return (x / most if most else x).astype(np.float32)
+
+
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
     """``dim, node, vector, ids`` for each distinct usable vector: its ``k + 1`` smallest distinct ids (a result
     holds no more of them), ``node`` a number of its own."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(own_type(vectors)).alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     rank = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))  # cut to k + 1 before the shuffle
     few = rows.withColumn("k", rank).where(F.col("k") <= k + 1)
     out = few.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
@@ -207,8 +220,8 @@ def build_index(points: DataFrame, shards: int) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("first", "ascending"), ("node", "ascending")])
-        x = np.array(table.column("vector").to_pylist(), np.float32)
-        graph = Graph.build(_level(x))
+        x = np.array(table.column("vector").to_pylist(), _dtype(table.schema.field("vector").type))
+        graph = Graph.build(_level(_narrow(x)))
         return pa.table(
             {
                 "dim": pa.array([table.column("dim")[0].as_py()], pa.int32()),
@@ -226,6 +239,10 @@ def build_index(points: DataFrame, shards: int) -> DataFrame:
     return points.select("dim", "node", first.alias("first"), "vector", shard.alias("shard")).groupBy("dim", "shard").applyInArrow(build, INDEX)
 
 
+def _dtype(kind: pa.DataType) -> type:
+    return np.float32 if kind.value_type == pa.float32() else np.float64
+
+
 def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = own = first = x = loaded = None
@@ -240,16 +257,17 @@ def _searcher(k: int):
                 if kind[lo] == 0:
                     loaded = key
                     r = batch.slice(lo, 1).to_pylist()[0]
-                    own, first, x = np.array(r["nodes"], np.int64), np.array(r["firsts"], np.int64), np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"])
-                    graph = Graph(_level(x))
+                    kind_of = _dtype(batch.schema.field("query_vector").type)
+                    own, first, x = np.array(r["nodes"], np.int64), np.array(r["firsts"], np.int64), np.frombuffer(r["vectors"], kind_of).reshape(-1, r["dim"])
+                    graph = Graph(_level(_narrow(x)))
                     graph.layers = [(np.frombuffer(m, np.int32), np.frombuffer(a, np.int32).reshape(len(m) // 4, -1)) for m, a in zip(r["members"], r["links"], strict=True)]
                     continue
                 if key != loaded:  # no vector of this length is in the shard
                     continue
                 for at in range(lo, hi, STEP):
                     part = batch.slice(at, min(STEP, hi - at))
-                    q = np.array(part.column("query_vector").to_pylist(), np.float32)
-                    found = graph.search(np.concatenate((q, np.zeros((len(q), 1), np.float32)), 1), k)
+                    q = np.array(part.column("query_vector").to_pylist(), x.dtype)
+                    found = graph.search(np.concatenate((_narrow(q), np.zeros((len(q), 1), np.float32)), 1), k)
                     a, b = np.nonzero(found >= 0)
                     row = found[a, b]
                     score = (q[a].astype(np.float64) * x[row].astype(np.float64)).sum(1)
@@ -269,7 +287,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = vectors.sparkSession
     points = saved(nodes(vectors, k))
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector")).where(usable(F.col("vector")))
+    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast(own_type(vectors)).alias("vector")).where(usable(F.col("vector")))
     asked = saved(asked.join(points.select("vector", "dim", "node"), "vector").select("query_id", "dim", F.col("node").alias("query"), "vector"))
     distinct = asked.select("dim", "query", "vector").dropDuplicates(["query"])
     shards = shards_for(points.count())

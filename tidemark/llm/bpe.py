@@ -100,10 +100,14 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, ids = file["model"], file["model"]["vocab"]
+        if model.get("type", "BPE") != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("only plain byte-level BPE is supported")
         self.ends = model["end_of_word_suffix"] or ""
         self.kind = "word" if self.ends else "byte"
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         self.labels = [""] * (max([*ids.values(), *self.special.values()]) + 1)
+        if len(self.labels) > 1 << 16:
+            raise ValueError("ids from 65,536 on are not supported: a pair of ids is a 32-bit key")
         for token, i in [*ids.items(), *self.special.items()]:
             self.labels[i] = token
         shown = byte_symbols()

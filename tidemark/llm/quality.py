@@ -149,9 +149,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 16_000) -> Ordinal | None:
     """Fits on the rows of ``docs`` that ``ratings`` (``doc_id, grade``) grade, of these on the
-    ``sample_rows`` ratings of smallest hash; None if there are none."""
+    ``sample_rows`` ratings of smallest hash; None if there are none. Of rows that repeat a doc_id the smallest text counts once; a null
+    text counts as empty."""
     sample = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade")
+    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
