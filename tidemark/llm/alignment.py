@@ -180,9 +180,11 @@ def _align(path_a: str, path_b: str, digest: bool):
         def closed() -> Iterator[pa.RecordBatch]:
             name = f"{task}-{number}"
             pairs, links = block.pairs()
-            for at in range(0, len(pairs), 50_000):
-                n = len(pairs[at : at + 50_000])
-                yield _rows(n, block=[name] * n, kind=np.zeros(n, np.int32), slot=np.arange(at, at + n, dtype=np.int32), pair=pairs[at : at + n], links=links[at : at + n])
+            linked = np.flatnonzero(links)  # pairs of texts without tokens have none
+            for at in range(0, len(linked), 50_000):
+                some = linked[at : at + 50_000]
+                n = len(some)
+                yield _rows(n, block=[name] * n, kind=np.zeros(n, np.int32), slot=some.astype(np.int32), pair=pairs[some], links=links[some])
             yield _rows(1, block=[name], kind=[1], stretches=[block.slots().tobytes()], often=[block.counts[:, 3].astype(np.int32).tobytes()])
 
         for batch in batches:
@@ -238,11 +240,10 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(part.column("count").to_numpy())
                 best.append(part.column("best").to_numpy(zero_copy_only=False))
             elif kinds[lo] == 1:
-                number = [np.zeros(0, np.int64)] * 2
-                if slots:
-                    order = np.argsort(np.concatenate(slots))
-                    number = [np.concatenate(best)[order].astype(np.int64), np.concatenate(count)[order]]
                 links = np.frombuffer(part.column("stretches")[0].as_py(), np.int32)
+                number = [np.zeros(int(links.max(initial=-1)) + 1, np.int64) for _ in range(2)]
+                for known, flag, total in zip(slots, best, count, strict=True):
+                    number[0][known], number[1][known] = flag, total
                 end = np.cumsum(np.frombuffer(part.column("often")[0].as_py(), np.int32), dtype=np.int64)
                 sums = [np.concatenate(([0], np.cumsum(x[links]))) for x in number]
                 ready = [s[end] - s[np.concatenate(([0], end[:-1]))] for s in sums]
