@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .quantiles import quantiles
 
 # Published targets by age band (mean length, within-person SD, shares of irregular
 # participants, of cycles under 24 and over 38 days), by external age band (lower and upper age, mean of
@@ -168,7 +169,9 @@ def subphase(day, ovulation, length) -> Column:
 def subphase_medians(spark: SparkSession, daily: DataFrame) -> DataFrame:
     """Median estradiol and progesterone by subphase (``daily`` holds only days of complete ovulatory cycles), against bounds
     around the published medians."""
-    obs = daily.withColumn("subphase", subphase("cycle_day", "ovulation_day", "cycle_length")).where("subphase is not null").groupBy("subphase").agg(F.percentile("estradiol", 0.5).alias("estradiol"), F.percentile("progesterone", 0.5).alias("progesterone"))
+    long = daily.select(subphase("cycle_day", "ovulation_day", "cycle_length").alias("subphase"), F.expr("stack(2, 'estradiol', cast(estradiol as double), 'progesterone', cast(progesterone as double)) as (hormone, value)"))
+    obs = quantiles(long.where("subphase is not null"), ["subphase", "hormone"], "value", [0.5]).groupBy("subphase").agg(
+        *[F.max(F.when(F.col("hormone") == h, F.get("quantiles", F.lit(0)))).alias(h) for h in ("estradiol", "progesterone")])
     targets = []
     for name, pmol, nmol in SUBPHASE_TARGETS:
         e2, p4 = pmol / C.PMOL_L_PER_PG_ML, nmol / C.NMOL_L_PER_NG_ML
@@ -205,7 +208,7 @@ def waveform_metrics(spark: SparkSession, daily: DataFrame) -> DataFrame:
     jump = F.when(F.lead("cycle_id").over(by) == F.col("cycle_id") + 1, F.abs(F.lead("first_p4").over(by) - F.col("last_p4")))
     pairs = ", ".join(f"'{name}', cast({m} as double)" for name, m in zip(WAVEFORM_TARGETS, WAVEFORMS, strict=True))
     long = shapes.withColumn("progesterone_cycle_jump", jump).select(F.expr(f"stack({len(WAVEFORMS)}, {pairs}) as (name, value)"))
-    obs = long.groupBy("name").agg(F.percentile("value", 0.5).alias("observed"))
+    obs = quantiles(long, ["name"], "value", [0.5]).select("name", F.get("quantiles", F.lit(0)).alias("observed"))
     return metric_gate(spark, obs, [(k, "waveform", *v, CITED["waveform"]) for k, v in WAVEFORM_TARGETS.items()])
 
 
@@ -291,10 +294,11 @@ def cohort_metrics(cycles: DataFrame) -> DataFrame:
     """``metric, value`` of the whole cohort."""
     people = cycles.groupBy("participant_id").agg(F.max("age").alias("age")).join(cycle_irregularity(cycles), "participant_id")
     who = people.agg(
-        F.count("*").cast("double").alias("patients"), F.avg("age").alias("mean_age"), F.percentile("age", 0.5).alias("median_age"), F.avg("irregularity").alias("mean_adjacent_difference"),
+        F.count("*").cast("double").alias("patients"), F.avg("age").alias("mean_age"), F.avg("irregularity").alias("mean_adjacent_difference"),
         F.avg(F.coalesce("irregular", F.lit(False)).cast("int")).alias("irregular_share"))
     what = cycles.agg(F.avg("cycle_length").alias("mean_cycle_length"), F.avg(F.col("ovulatory_flag").cast("int")).alias("ovulatory_cycle_rate"), F.avg("bleeding_days").alias("mean_bleeding_days"))
-    both = who.crossJoin(what)  # one row each
+    half = quantiles(people, [], "age", [0.5]).select(F.get("quantiles", F.lit(0)).alias("median_age"))
+    both = who.crossJoin(what).join(half, how="left")  # one row each
     return both.select(F.expr(f"stack({len(both.columns)}, " + ", ".join(f"'{c}', {c}" for c in both.columns) + ") as (metric, value)"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .quantiles import quantiles
 
 # Thresholds of the cumulative ratio table.
 THRESHOLDS = (1.0, 1.25, 1.5, 1.62, 1.69, 1.83, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -113,9 +114,9 @@ def driver_analysis(df: DataFrame, features: list[str] = CONTINUOUS, outcomes: l
     """
     pairs = ", ".join(f"'{f}', round(cast({f} as double), 9)" for f in features)
     long = df.select("cohort", *outcomes, F.expr(f"stack({len(features)}, {pairs}) as (feature, value)")).where("value is not null")
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = long.groupBy("cohort", "feature").agg(F.percentile("value", cuts).alias("edges"), F.count("*").alias("n"), F.countDistinct("value").alias("d")).where("n >= 10 and d >= 2")
-    edges = edges.select("cohort", "feature", F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))).alias("edges"))
+    # the first and last edge are the least and the largest value
+    edges = quantiles(long, ["cohort", "feature"], "value", [i / bins for i in range(bins + 1)]).where(f"n >= 10 and quantiles[0] < quantiles[{bins}]")
+    edges = edges.select("cohort", "feature", F.array_distinct(F.transform("quantiles", lambda e: F.round(e, 9))).alias("edges"))
     both = long.join(F.broadcast(edges), ["cohort", "feature"])  # a row for each cohort and feature
     bin_ = F.greatest(F.size(F.filter("edges", lambda e: e < F.col("value"))), F.lit(1))
     both = both.withColumn("bin", bin_).select("cohort", "feature", F.col("bin").cast("string").alias("level"), F.expr("edges[bin - 1]").alias("lower"), F.expr("edges[bin]").alias("upper"), *outcomes)
@@ -187,8 +188,7 @@ def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, *ke
 def winsorized_histogram(windows: DataFrame, value: str, bins: int = 35) -> DataFrame:
     """Values clipped to their 0.5 and 99.5 percentiles by cohort (infinite ones left out) in equal bins, as density."""
     rows = windows.select("cohort", C.finite_or_null(value).alias("v")).where("v is not null")
-    edge = rows.groupBy("cohort").agg(F.percentile("v", F.array(F.lit(0.005), F.lit(0.995))).alias("e"), F.count("*").alias("total"))
-    edge = edge.select("cohort", "total", F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
+    edge = quantiles(rows, ["cohort"], "v", [0.005, 0.995]).select("cohort", F.col("n").alias("total"), F.get("quantiles", F.lit(0)).alias("lo"), F.get("quantiles", F.lit(1)).alias("hi"))
     each = rows.join(F.broadcast(edge), "cohort").withColumn("v", F.least(F.greatest("v", "lo"), "hi"))  # a row a cohort
     width = (F.col("hi") - F.col("lo")) / bins
     each = each.withColumn("bin", F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)).cast("int"), F.lit(bins - 1)), F.lit(0)))
