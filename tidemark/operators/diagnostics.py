@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,18 +153,51 @@ def audit_features(daily: DataFrame) -> DataFrame:
         F.col("period_days").alias("spectral_dominant_period_days"), F.col("amplitude").alias("spectral_amplitude_seizures_per_day"), *cycles.columns[1:])
 
 
+#: Days of counts that one call of the Fourier transform holds.
+SPECTRUM_DAYS = 2_000_000
+
+
+def _spectra(longest: int):
+    """For batches of ``participant_id, n, days, counts``: all diaries of one length in one call of the transform."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            size = np.asarray(pc.list_value_length(batch.column("days")))
+            start = np.cumsum(size) - size
+            days, counts = batch.column("days").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+            period, amplitude = np.full(len(n), np.nan), np.full(len(n), np.nan)
+            for length in np.unique(n).tolist():
+                first = max(1, -(-length // longest))
+                if first > length // 2:
+                    continue
+                mine = np.flatnonzero(n == length)
+                step = max(1, SPECTRUM_DAYS // length)
+                for rows in np.split(mine, range(step, len(mine), step)):
+                    at = np.repeat(start[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(int(size[rows].sum()))
+                    y = np.zeros((len(rows), length))
+                    np.add.at(y, (np.repeat(np.arange(len(rows)), size[rows]), days[at] % length), counts[at])
+                    # the mean adds at frequency 0 alone, which is not looked at
+                    power = np.round(2 * np.abs(np.fft.rfft(y, axis=1))[:, first : length // 2 + 1] / length, 9)
+                    best = power.argmax(1)  # of equal ones the first: the longer period
+                    period[rows], amplitude[rows] = length / (best + first), power[np.arange(len(rows)), best]
+            known = pa.array(~np.isnan(period))
+            yield pa.RecordBatch.from_arrays([batch.column("participant_id"), pa.array(period), pa.array(amplitude)], ["participant_id", "period_days", "amplitude"]).filter(known)
+
+    return run
+
+
 def dominant_period(daily: DataFrame, longest: int = 365) -> DataFrame:
-    """The period (2 to ``longest`` days) of largest amplitude of each participant's counts, by a
-    discrete Fourier sum over a grid of frequencies k / n; ties to the longer period."""
-    n = daily.groupBy("participant_id").agg(F.count("*").alias("n"), F.avg("seizure_count").alias("mean"))
-    days = daily.select("participant_id", (F.col("calendar_day_index") - 1).alias("t"), "seizure_count").where("seizure_count > 0").join(n, "participant_id")
-    # the mean only adds at frequency 0, so days without events need not be read
-    k = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") / longest).cast("int")), F.expr("cast(n div 2 as int)"))
-    each = days.withColumn("k", F.explode(k)).withColumn("x", F.col("k") * F.col("t") * F.lit(6.283185307179586) / F.col("n"))
-    sums = each.groupBy("participant_id", "k").agg(F.sum(F.col("seizure_count") * F.cos("x")).alias("a"), F.sum(F.col("seizure_count") * F.sin("x")).alias("b"), F.max("n").alias("n"))
-    power = sums.withColumn("amplitude", F.round(2 * F.sqrt(F.col("a") ** 2 + F.col("b") ** 2) / F.col("n"), 9))
-    best = power.groupBy("participant_id").agg(F.max(F.struct(F.col("amplitude"), (-F.col("k")).alias("k"), "n")).alias("x"))
-    return best.select("participant_id", (F.col("x.n") / -F.col("x.k")).alias("period_days"), F.col("x.amplitude").alias("amplitude"))
+    """``participant_id, period_days, amplitude``: the period (2 to ``longest`` days) of largest amplitude of each participant's counts
+    by a fast Fourier transform of the zero-padded days; ties to the longer period. Participants without events have no row.
+
+    Only days with events travel to the participant; their number and the diary's length bound a row.
+    """
+    some = F.when(F.col("seizure_count") > 0, F.struct((F.col("calendar_day_index") - 1).cast("long").alias("t"), F.col("seizure_count").cast("double").alias("c")))
+    people = daily.groupBy("participant_id").agg(F.count("*").alias("n"), F.collect_list(some).alias("events")).where(F.size("events") > 0)
+    people = people.select("participant_id", "n", F.col("events.t").alias("days"), F.col("events.c").alias("counts"))
+    kind = daily.schema["participant_id"].dataType.simpleString()
+    return people.mapInArrow(_spectra(longest), f"participant_id {kind}, period_days double, amplitude double")
 
 
 def ratio_audit(windows: DataFrame) -> DataFrame:

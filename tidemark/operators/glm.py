@@ -1,11 +1,11 @@
 """Definition D: grouped negative-binomial regression of daily counts on the phase.
 
 Days of one cycle and phase group share their mean, so (n, events) of each cell are
-sufficient. Spark aggregates the cells; the fit of each window (at most three cells a
-cycle) runs in one small group. The log link has an effect for each cycle where four
-or more cycles are complete; cycles without events tell nothing about the phases and are left
-out. Where a phase group has no events the estimate diverges and its Wald statistic
-tends to 0: the label is then false, p 0.5 and the ratio null.
+sufficient. The log link has an effect for each cycle where four or more cycles are complete: Spark
+aggregates the cells, and the fit of each window (at most three cells a cycle) runs in one small group.
+Cycles without events tell nothing about the phases and are left out. With fewer complete cycles the fit is a column expression. Where a
+phase group has no events the estimate diverges and its Wald statistic
+tends to 0: the label is then false, p 0.5 and the ratio null. A fit that fails gives way to a Poisson fit with robust errors.
 """
 
 from __future__ import annotations
@@ -21,26 +21,46 @@ from ..functions import columns as C
 from .definitions import PHASES, minimum_data_reason, nb_alpha
 from .windows import KEYS, subset_window
 
-FIT = "beta_1 double, se_1 double, beta_2 double, se_2 double"
+FIT = "beta_1 double, se_1 double, beta_2 double, se_2 double, robust boolean"
+#: Windows with fewer complete cycles have no cycle effects: their fit has a closed form.
+CYCLE_EFFECTS = 4
+Estimates = list[tuple[float | None, float | None]]
 
 
-def fit_cells(cycle: np.ndarray, group: np.ndarray, n: np.ndarray, events: np.ndarray, alpha: float, rounds: int = 100) -> list[tuple[float | None, float | None]]:
-    """Log rate ratios of groups 1 and 2 against 0 with their standard errors, (None, None) where separated."""
-    out: list[tuple[float | None, float | None]] = [(None, None), (None, None)]
+def _design(cycle: np.ndarray, group: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, int]:
+    """The cells that tell something about the phases, the groups that have an estimate, the matrix with a column for each cycle and then each of these
+    groups, and the number of cycles; no groups where the fit is separated."""
     use = np.isin(cycle, [c for c in np.unique(cycle) if events[cycle == c].sum() > 0])
-    cycle, group, n, events = cycle[use], group[use], n[use].astype(float), events[use].astype(float)
-    if not events[group == 0].sum():
-        return out
-    some = [g for g in (1, 2) if events[group == g].sum() > 0]
-    use = np.isin(group, [0, *some])
-    cycle, group, n, events = cycle[use], group[use], n[use], events[use]
-    if not some:
-        return out
-    ids, place = np.unique(cycle, return_inverse=True)
-    x = np.zeros((len(cycle), len(ids) + len(some)))
-    x[np.arange(len(cycle)), place] = 1
+    some = [g for g in (1, 2) if events[use & (group == g)].sum() > 0]
+    if not events[use & (group == 0)].sum() or not some:
+        return use, [], np.zeros((0, 0)), 0
+    use &= np.isin(group, [0, *some])
+    ids, place = np.unique(cycle[use], return_inverse=True)
+    x = np.zeros((int(use.sum()), len(ids) + len(some)))
+    x[np.arange(len(x)), place] = 1
     for k, g in enumerate(some):
-        x[:, len(ids) + k] = group == g
+        x[:, len(ids) + k] = group[use] == g
+    return use, some, x, len(ids)
+
+
+def _estimates(some: list[int], first: int, beta: np.ndarray, variance: np.ndarray) -> Estimates:
+    out: Estimates = [(None, None), (None, None)]
+    if not np.isfinite(beta).all() or not np.isfinite(variance).all():
+        raise FloatingPointError("the fit has no finite estimate")
+    for k, g in enumerate(some):
+        out[g - 1] = float(beta[first + k]), float(math.sqrt(max(variance[first + k, first + k], 0)))
+    return out
+
+
+def fit_cells(cycle: np.ndarray, group: np.ndarray, n: np.ndarray, events: np.ndarray, alpha: float, rounds: int = 100) -> Estimates:
+    """Log rate ratios of groups 1 and 2 against 0 with their standard errors, (None, None) where separated. Raises
+    ``FloatingPointError`` or ``LinAlgError`` where the fit fails."""
+    use, some, x, first = _design(cycle, group, events)
+    if not some:
+        return [(None, None), (None, None)]
+    if not 0 < alpha < math.inf:
+        raise FloatingPointError("the dispersion must be positive and finite")
+    n, events = n[use].astype(float), events[use].astype(float)
     rate = events / n
     mu = (rate + events.sum() / n.sum()) / 2
     eta, before = np.log(mu), math.inf
@@ -55,35 +75,88 @@ def fit_cells(cycle: np.ndarray, group: np.ndarray, n: np.ndarray, events: np.nd
             break
         before = fit
     inverse = np.linalg.pinv(x.T @ ((n * mu / (1 + alpha * mu))[:, None] * x))
-    for k, g in enumerate(some):
-        out[g - 1] = float(beta[len(ids) + k]), float(math.sqrt(max(inverse[len(ids) + k, len(ids) + k], 0)))
-    return out
+    return _estimates(some, first, beta, inverse)
+
+
+def fit_poisson_robust(cycle: np.ndarray, group: np.ndarray, n: np.ndarray, events: np.ndarray, squares: np.ndarray, rounds: int = 100) -> Estimates:
+    """The same ratios by a Poisson regression with heteroscedasticity-consistent (HC0) standard errors.
+
+    Days of a cell share their mean ``mu``, so their squared residuals add up to ``squares - 2 mu events + n mu**2``.
+    """
+    use, some, x, first = _design(cycle, group, events)
+    if not some:
+        return [(None, None), (None, None)]
+    n, events, squares = (v[use].astype(float) for v in (n, events, squares))
+    rate = events / n
+    mu = (rate + events.sum() / n.sum()) / 2
+    eta, before = np.log(mu), math.inf
+    for _ in range(rounds):
+        w = n * mu
+        beta = np.linalg.pinv(x.T @ (w[:, None] * x)) @ (x.T @ (w * (eta + (rate - mu) / mu)))
+        eta = np.clip(x @ beta, -50, 50)
+        mu = np.exp(eta)
+        fit = float((n * (rate * eta - mu)).sum())
+        if abs(fit - before) < 1e-10:
+            break
+        before = fit
+    bread = np.linalg.pinv(x.T @ ((n * mu)[:, None] * x))
+    meat = x.T @ ((squares - 2 * mu * events + n * mu**2)[:, None] * x)
+    return _estimates(some, first, beta, bread @ meat @ bread)
 
 
 def fit_windows(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Fits each group of ``keys`` over its cells ``cycle, grp, n, events, alpha``."""
+    """Fits each group of ``keys`` over its cells ``cycle, grp, n, events, squares, alpha``; ``robust`` where the Poisson fit stands in for
+    a negative-binomial one that failed."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_cells(pdf["cycle"].to_numpy(), pdf["grp"].to_numpy(), pdf["n"].to_numpy(), pdf["events"].to_numpy(), float(pdf["alpha"].iloc[0]))
+        cells_ = [pdf[c].to_numpy() for c in ("cycle", "grp", "n", "events")]
+        robust = False
+        try:
+            got = fit_cells(*cells_, float(pdf["alpha"].iloc[0]))
+        except (FloatingPointError, np.linalg.LinAlgError):
+            robust = True
+            got = fit_poisson_robust(*cells_, pdf["squares"].to_numpy())
         row = {k: [pdf[k].iloc[0]] for k in keys} | {name: [v] for name, v in zip(("beta_1", "se_1", "beta_2", "se_2"), (y for x in got for y in x), strict=True)}
-        return pd.DataFrame(row)
+        return pd.DataFrame(row | {"robust": [robust]})
 
     kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
     return cells.groupBy(*keys).applyInPandas(fit, f"{kinds}, {FIT}")
 
 
+def closed_form(df: DataFrame, alpha: str) -> DataFrame:
+    """Adds ``beta_1, se_1, beta_2, se_2`` of groups M and O against the other labelled days, from the window's counters.
+
+    Without cycle effects each group's mean is its own rate r, so the log ratio is that of two rates, and its variance
+    ``(1 + alpha r) / events`` summed over both. Null where a group has no events.
+    """
+    e0, d0 = F.col("events_F") + F.col("events_L"), F.col("days_F") + F.col("days_L")
+    part = lambda e, d: F.try_divide(1 + F.col(alpha) * F.try_divide(e, d), e)
+    out = {}
+    for k, p in ((1, "M"), (2, "O")):
+        e, d = F.col(f"events_{p}"), F.col(f"days_{p}")
+        ok = (e > 0) & (e0 > 0)
+        out[f"beta_{k}"] = F.when(ok, F.log(F.try_divide(e, d)) - F.log(F.try_divide(e0, d0)))
+        out[f"se_{k}"] = F.when(ok, F.sqrt(part(e, d) + part(e0, d0)))
+    return df.withColumns(out)
+
+
 def _p(beta: str, se: str):
     """One-sided Wald p; 0.5 where separated."""
     z = F.try_divide(F.col(beta), F.col(se))
     return F.when(F.col(beta).isNull(), 0.5).when(F.col(se) > 0, 1 - C.normal_cdf(z)).when(F.col(beta) > 0, 0.0).otherwise(1.0)
 
 
-def label_d(daily: DataFrame, windows: DataFrame, classified: DataFrame, alphas: DataFrame | None = None) -> DataFrame:
+#: Columns of one dispersion's labels; of the window's own dispersion they begin with ``d_window_`` and ``label_D_window_alpha_``.
+MEASURES = ["d_alpha", "d_beta_M", "d_beta_O", "d_rr_M", "d_rr_O", "d_p_adj_M", "d_p_adj_O", "label_D_C1", "label_D_C2", "label_D_any", "label_D_C1_or_C2", "label_D_pattern_category", "d_reason"]
+
+
+def label_d(daily: DataFrame, windows: DataFrame, classified: DataFrame, alphas: DataFrame | None = None, both: bool = False) -> DataFrame:
     """``participant_id``, window keys and ``label_D_*, d_*`` for the windows given, strict labelling only.
 
-    ``alphas`` has ``participant_id, alpha`` (of the full diary); without it each window's own is used.
+    ``alphas`` has ``participant_id, alpha`` (of the full diary); without it each window's own dispersion is used. With ``both`` there are the labels of both
+    (:data:`MEASURES`); where the two dispersions agree, one fit serves both. Windows with fewer than four complete cycles have a closed form
+    and read no days; the cells of the others are aggregated once for both dispersions.
     """
-    strict = daily.where("phase_mode = 'strict_herzog'")
     base = classified.where("phase_mode = 'strict_herzog'").join(windows.select(*KEYS), KEYS, "left_semi")
     base = base.withColumn("window_alpha", nb_alpha("n_days", "seizure_count_total", "squares"))
     base = base.join(alphas, "participant_id", "left") if alphas is not None else base.withColumn("alpha", F.col("window_alpha"))
@@ -92,24 +165,46 @@ def label_d(daily: DataFrame, windows: DataFrame, classified: DataFrame, alphas:
         F.when(F.col("n_days") == 0, F.coalesce("invalid_reason", F.lit("invalid_window"))).otherwise(minimum_data_reason())
     )
     reason = F.coalesce(reason, F.when(labelled <= 0, "no_labeled_seizure_data").when((F.col("days_M") == 0) | (F.col("days_O") == 0), "missing_m_or_o_phase"))
-    base = base.withColumn("d_reason", reason).select("participant_id", *KEYS[1:], "alpha", "d_reason", "n_complete_cycles")
-    fit = base.where("d_reason is null").drop("d_reason")
-    days = subset_window(strict, windows).where("phase is not null").join(fit, KEYS)
+    base = base.withColumn("d_reason", reason).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in (["", "window_"] if both else [""])])))
+    base = base.withColumn("alpha", F.when(F.col("kind") == "window_", F.col("window_alpha")).otherwise(F.col("alpha")))
+    run = F.col("d_reason").isNull()
+    closed = closed_form(base.where(run & (F.col("n_complete_cycles") < CYCLE_EFFECTS)), "alpha").withColumn("robust", F.lit(False))
+    fit = base.where(run & (F.col("n_complete_cycles") >= CYCLE_EFFECTS)).groupBy(*KEYS).agg(F.collect_set("alpha").alias("alphas"))
+    fits = fit_windows(_cells(daily.where("phase_mode = 'strict_herzog'"), windows, fit), [*KEYS, "alpha"])
+    columns = [*KEYS, "kind", "alpha", "d_reason"]
+    estimates = ["beta_1", "se_1", "beta_2", "se_2", "robust"]
+    rest = base.where(~(run & (F.col("n_complete_cycles") < CYCLE_EFFECTS))).select(*columns).join(fits, [*KEYS, "alpha"], "left")
+    out = _labelled(closed.select(*columns, *estimates).unionByName(rest.select(*columns, *estimates)))
+    if not both:
+        return out.drop("kind")
+    name = lambda m: m.replace("label_D_", "label_D_window_alpha_") if m.startswith("label") else m.replace("d_", "d_window_", 1)
+    pick = lambda m, kind: F.max(F.when(F.col("kind") == kind, F.col(m)))
+    return out.groupBy(*KEYS).agg(*[pick(m, "").alias(m) for m in MEASURES], *[pick(m, "window_").alias(name(m)) for m in MEASURES])
+
+
+def _cells(days: DataFrame, windows: DataFrame, fit: DataFrame) -> DataFrame:
+    """``cycle, grp, n, events, squares, alpha`` of the windows in ``fit``, for each of their dispersions."""
     grp = F.when(F.col("phase") == "M", 1).when(F.col("phase") == "O", 2).otherwise(0)
-    cycle = F.when(F.col("n_complete_cycles") >= 4, F.col("cycle_id")).otherwise(0)
-    cells = days.groupBy(*KEYS, cycle.alias("cycle"), grp.alias("grp"), "alpha").agg(F.count("*").alias("n"), F.sum("seizure_count").alias("events"))
-    out = base.join(fit_windows(cells, KEYS), KEYS, "left")
+    c = F.col("seizure_count")
+    inside = subset_window(days.where("phase is not null"), windows.join(fit.select(*KEYS), KEYS, "left_semi"))
+    cells = inside.groupBy(*KEYS, F.col("cycle_id").alias("cycle"), grp.alias("grp")).agg(F.count("*").alias("n"), F.sum(c).alias("events"), F.sum(c * c).alias("squares"))
+    return cells.join(fit, KEYS).withColumn("alpha", F.explode("alphas")).drop("alphas")
+
+
+def _labelled(out: DataFrame) -> DataFrame:
+    """Labels from the estimates."""
     run = F.col("d_reason").isNull()
     out = out.withColumn("p_m", F.when(run, _p("beta_1", "se_1"))).withColumn("p_o", F.when(run, _p("beta_2", "se_2")))
     adj_m, adj_o = C.holm_two("p_m", "p_o")
-    out = out.withColumns({"d_p_adj_M": adj_m, "d_p_adj_O": adj_o, "d_rr_M": F.exp("beta_1"), "d_rr_O": F.exp("beta_2")})
+    out = out.withColumns({"d_p_adj_M": F.when(run, adj_m), "d_p_adj_O": F.when(run, adj_o), "d_rr_M": F.exp("beta_1"), "d_rr_O": F.exp("beta_2")})
     yes = lambda rr, p, t: F.when(run, F.coalesce((F.col(rr) >= C.THRESHOLDS[t]) & (F.col(p) < 0.05), F.lit(False)))
     out = out.withColumns({"label_D_C1": yes("d_rr_M", "d_p_adj_M", "C1"), "label_D_C2": yes("d_rr_O", "d_p_adj_O", "C2")})
     separated = run & (F.col("beta_1").isNull() | F.col("beta_2").isNull())
     return out.select(
-        *KEYS, F.col("alpha").alias("d_alpha"), F.col("beta_1").alias("d_beta_M"), F.col("beta_2").alias("d_beta_O"), "d_rr_M", "d_rr_O", "d_p_adj_M", "d_p_adj_O", "label_D_C1", "label_D_C2",
+        *KEYS, "kind", F.col("alpha").alias("d_alpha"), F.col("beta_1").alias("d_beta_M"), F.col("beta_2").alias("d_beta_O"), "d_rr_M", "d_rr_O", "d_p_adj_M", "d_p_adj_O", "label_D_C1", "label_D_C2",
         (F.col("label_D_C1") | F.col("label_D_C2")).alias("label_D_any"), (F.col("label_D_C1") | F.col("label_D_C2")).alias("label_D_C1_or_C2"),
-        C.pattern_category("label_D_C1", "label_D_C2", F.lit(None).cast("boolean")).alias("label_D_pattern_category"), F.when(separated, "separated").otherwise(F.col("d_reason")).alias("d_reason"),
+        C.pattern_category("label_D_C1", "label_D_C2", F.lit(None).cast("boolean")).alias("label_D_pattern_category"),
+        F.when(run & F.coalesce("robust", F.lit(False)), "poisson_robust_fallback").when(separated, "separated").otherwise(F.col("d_reason")).alias("d_reason"),
     )
 
 
@@ -132,12 +227,13 @@ def label_d_c3(daily: DataFrame, cycles: DataFrame, alphas: DataFrame, least_cyc
     everyone = everyone.join(any_done, "participant_id", "left").withColumn("reason", reason)
     fit = everyone.where("reason is null").select("participant_id", "alpha")
     grp = F.when(F.col("phase") == "F", 0).otherwise(1)
-    cells = days.where("phase is not null").join(fit, "participant_id").groupBy("participant_id", F.col("cycle_id").alias("cycle"), grp.alias("grp"), "alpha").agg(F.count("*").alias("n"), F.sum("seizure_count").alias("events"))
+    cells = days.where("phase is not null").join(fit, "participant_id").groupBy("participant_id", F.col("cycle_id").alias("cycle"), grp.alias("grp"), "alpha").agg(
+        F.count("*").alias("n"), F.sum("seizure_count").alias("events"), F.sum(F.col("seizure_count") * F.col("seizure_count")).alias("squares"))
     out = everyone.join(fit_windows(cells, ["participant_id"]), "participant_id", "left")
     run = F.col("reason").isNull()
     out = out.withColumn("p", F.when(run, _p("beta_1", "se_1"))).withColumn("rr", F.exp("beta_1"))
     label = F.when(run, F.coalesce((F.col("rr") >= threshold) & (F.col("p") < 0.05), F.lit(False)))
     return out.select(
         "participant_id", "cohort", label.alias("label_D_C3_exploratory"), F.col("beta_1").alias("d_c3_beta"), F.col("rr").alias("d_c3_rr"), F.col("p").alias("d_c3_p"), F.col("alpha").alias("d_c3_alpha"),
-        F.when(run & F.col("beta_1").isNull(), "separated").otherwise(F.col("reason")).alias("d_c3_reason"), F.coalesce("n_ilp", F.lit(0)).alias("n_complete_ilp_cycles"),
+        F.when(run & F.coalesce("robust", F.lit(False)), "poisson_robust_fallback").when(run & F.col("beta_1").isNull(), "separated").otherwise(F.col("reason")).alias("d_c3_reason"), F.coalesce("n_ilp", F.lit(0)).alias("n_complete_ilp_cycles"),
     )

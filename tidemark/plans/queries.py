@@ -362,7 +362,42 @@ def label_D(spark, sf):
 @query()
 def label_D_window_alpha(spark, sf):
     full = T.windows(spark, sf).where("window_type = 'full' or (window_type = 'calendar' and window_value = '12')")
-    return G.label_d(T.labelled(spark, sf), full, T.classified(spark, sf))
+    return G.label_d(T.labelled(spark, sf), full, T.classified(spark, sf), T.alphas(spark, sf), both=True)
+
+
+def _tail(z: str) -> str:
+    """One-sided p of a Wald statistic, by the five-term approximation of the normal distribution."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    tail = f"(exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"CASE WHEN {z} IS NULL THEN 0.5 WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+_E0, _D0 = "(events_F + events_L)", "(days_F + days_L)::DOUBLE"
+
+
+def _closed(k: int, p: str) -> str:
+    ok, e, d = f"events_{p} > 0 AND {_E0} > 0", f"events_{p}", f"days_{p}::DOUBLE"
+    return f"""CASE WHEN {ok} THEN ln({e} / {d}) - ln({_E0} / {_D0}) END AS beta_{k},
+    CASE WHEN {ok} THEN sqrt((1 + alpha * ({e} / {d})) / {e} + (1 + alpha * ({_E0} / {_D0})) / {_E0}) END AS se_{k}"""
+
+
+_CLOSED = f""", al AS (SELECT participant_id, {_ALPHA} AS alpha FROM (SELECT participant_id, avg(seizure_count) AS m, var_samp(seizure_count) AS v FROM day GROUP BY 1)),
+d1 AS (SELECT *, {_closed(1, 'M')}, {_closed(2, 'O')} FROM w JOIN al USING (participant_id) WHERE phase_mode = 'strict_herzog' AND n_complete_cycles < 4),
+d2 AS (SELECT *, CASE WHEN n_days = 0 THEN coalesce(invalid_reason, 'invalid_window') WHEN data_reason IS NOT NULL THEN data_reason WHEN events_M + events_O + events_F + events_L <= 0 THEN 'no_labeled_seizure_data'
+    WHEN days_M = 0 OR days_O = 0 THEN 'missing_m_or_o_phase' END AS why, {_tail('(beta_1 / se_1)')} AS p1, {_tail('(beta_2 / se_2)')} AS p2 FROM d1),
+d3 AS (SELECT *, CASE WHEN p1 <= p2 THEN least(1, 2*p1) ELSE greatest(least(1, 2*p2), p1) END AS a1, CASE WHEN p1 <= p2 THEN greatest(least(1, 2*p1), p2) ELSE least(1, 2*p2) END AS a2 FROM d2),
+d4 AS (SELECT *, CASE WHEN why IS NULL THEN coalesce(exp(beta_1) >= 1.69 AND a1 < 0.05, false) END AS c1, CASE WHEN why IS NULL THEN coalesce(exp(beta_2) >= 1.83 AND a2 < 0.05, false) END AS c2 FROM d3)
+SELECT participant_id, window_type, window_value, window_seq, round(alpha, 6) AS d_alpha, CASE WHEN why IS NULL THEN round(beta_1, 6) END AS "d_beta_M", CASE WHEN why IS NULL THEN round(beta_2, 6) END AS "d_beta_O",
+    CASE WHEN why IS NULL THEN round(a1, 6) END AS "d_p_adj_M", CASE WHEN why IS NULL THEN round(a2, 6) END AS "d_p_adj_O", c1 AS "label_D_C1", c2 AS "label_D_C2", c1 OR c2 AS "label_D_any",
+    CASE WHEN why IS NULL AND (beta_1 IS NULL OR beta_2 IS NULL) THEN 'separated' ELSE why END AS d_reason FROM d4"""
+
+
+@query(CLS + _CLOSED)
+def label_D_closed_form(spark, sf):
+    """Definition D of all windows with fewer than four complete cycles."""
+    few = T.classified(spark, sf).where(f"phase_mode = 'strict_herzog' and n_complete_cycles < {G.CYCLE_EFFECTS}")
+    out = G.label_d(T.labelled(spark, sf), T.windows(spark, sf).join(few.select(*W.KEYS), W.KEYS, "left_semi"), few, T.alphas(spark, sf))
+    return out.select(*W.KEYS, r6("d_alpha"), r6("d_beta_M"), r6("d_beta_O"), r6("d_p_adj_M"), r6("d_p_adj_O"), "label_D_C1", "label_D_C2", "label_D_any", "d_reason")
 
 
 @query()

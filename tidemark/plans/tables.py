@@ -83,15 +83,14 @@ def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definition D on full diaries."""
+    """Definition D on full diaries, with the participant's dispersion and the window's."""
     full = windows(spark, sf_dir).where("window_type = 'full'")
-    return written(spark, sf_dir, "regression", lambda s, d: G.label_d(labelled(s, d), full, classified(s, d), alphas(s, d)))
+    return written(spark, sf_dir, "regression", lambda s, d: G.label_d(labelled(s, d), full, classified(s, d), alphas(s, d), both=True))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window results: all definitions, D attached where it was evaluated."""
     d = regression(spark, sf_dir).withColumn("phase_mode", F.lit("strict_herzog"))
-    d = d.withColumn("label_D_window_alpha_any", F.col("label_D_any")).withColumn("label_D_window_alpha_C1_or_C2", F.col("label_D_C1_or_C2"))  # on full diaries both dispersions are the same
     return classified(spark, sf_dir).join(d, ["phase_mode", *W.KEYS], "left")
 
 
