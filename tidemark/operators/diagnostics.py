@@ -200,12 +200,19 @@ def dominant_period(daily: DataFrame, longest: int = 365) -> DataFrame:
     return people.mapInArrow(_spectra(longest), f"participant_id {kind}, period_days double, amplitude double")
 
 
-def ratio_audit(windows: DataFrame) -> DataFrame:
-    """Finite, infinite and undefined ratios, and the share of infinite ones among positives."""
-    long = windows.where("n_days > 0").select("cohort", "phase_mode", F.expr("stack(3, 'C1', rr_C1, label_A_windowed_C1, 'C2', rr_C2, label_A_windowed_C2, 'C3', rr_C3, label_A_windowed_C3) as (pattern, ratio, label)"))
-    inf = F.col("ratio") == float("inf")
-    out = long.groupBy("cohort", "phase_mode", "pattern").agg(F.count_if(F.coalesce(~inf, F.lit(False))).alias("n_finite"), F.count_if(F.coalesce(inf, F.lit(False))).alias("n_infinite"), F.count_if(F.col("ratio").isNull()).alias("n_undefined"), F.count_if(F.coalesce("label", F.lit(False))).alias("positives"))
-    return out.withColumn("infinite_share", F.try_divide("n_infinite", "positives"))
+def ratio_audit(windows: DataFrame, thresholds: dict[str, float] = C.THRESHOLDS) -> DataFrame:
+    """Finite, infinite and undefined ratios of strict three-cycle windows by pattern and cohort (C3 of the population where it applies), how many
+    reach the pattern's threshold, infinite ones included, and the infinite ones' percentage of these."""
+    rows = windows.where("phase_mode = 'strict_herzog' and window_type = 'cycle' and try_cast(window_value as double) = 3")
+    use3 = "cohort = 'population' and coalesce(c3_applicable_flag, false)"
+    parts = ", ".join(f"'{p}', rr_{p}, {use3 if p == 'C3' else 'true'}, cast({t} as double)" for p, t in thresholds.items())
+    long = rows.select("cohort", F.expr(f"stack({len(thresholds)}, {parts}) as (pattern, ratio, used, threshold)")).where("used")
+    known, inf = ~F.isnan("ratio") & F.col("ratio").isNotNull(), F.col("ratio") == float("inf")
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    out = long.groupBy("pattern", "cohort", "threshold").agg(
+        yes(known & (F.abs("ratio") < float("inf"))).alias("n_finite"), yes(inf).alias("n_infinite"), F.count_if(~F.coalesce(known, F.lit(False))).alias("n_undefined"),
+        yes(known & (F.col("ratio") >= F.col("threshold"))).alias("n_at_least"))
+    return out.withColumn("infinite_percent", F.try_divide(F.col("n_infinite") * 100.0, "n_at_least"))
 
 
 def cycle_day_profile(daily: DataFrame, most: int = 35) -> DataFrame:
@@ -223,15 +230,35 @@ def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, *ke
     return joined.withColumn("share", F.col("n") / F.col("total")).drop("total")
 
 
-def winsorized_histogram(windows: DataFrame, value: str, bins: int = 35) -> DataFrame:
-    """Values clipped to their 0.5 and 99.5 percentiles by cohort (infinite ones left out) in equal bins, as density."""
-    rows = windows.select("cohort", C.finite_or_null(value).alias("v")).where("v is not null")
-    edge = quantiles(rows, ["cohort"], "v", [0.005, 0.995]).select("cohort", F.col("n").alias("total"), F.get("quantiles", F.lit(0)).alias("lo"), F.get("quantiles", F.lit(1)).alias("hi"))
-    each = rows.join(F.broadcast(edge), "cohort").withColumn("v", F.least(F.greatest("v", "lo"), "hi"))  # a row a cohort
+# The panels of realised distributions and their fields, four of each.
+PANELS = {
+    "seizure_process": ["seizures_per_month", "seizure_days_per_month", "daily_count_overdispersion", "next_day_cluster_propensity"],
+    "seizure_rhythm": ["dominant_seizure_cycle_days", "spectral_dominant_period_days", "spectral_amplitude_seizures_per_day", "mean_seizure_frequency_month"],
+    "menstrual_cycle": ["mean_cycle_length", "sd_cycle_length", "ovulatory_fraction", "audit_ilp_fraction"],
+}
+#: Shown for the population alone.
+POPULATION_ONLY = ("audit_ilp_fraction",)
+
+
+def winsorized_histogram(people: DataFrame, panels: dict[str, list[str]] = PANELS, bins: int = 35) -> DataFrame:
+    """``panel, field, cohort, bin, lower, n, density``: realised values of participants clipped to their 0.5 and 99.5 percentiles by cohort
+    (infinite ones left out), in equal bins between the two, the last closed; values that all agree lie in the middle of a bin range of width 1.
+
+    Fields that ``people`` lacks are left out. Values are rounded to 9 decimals, so that they don't cross an edge by the order of a sum.
+    """
+    some = [(p, f) for p, fields in panels.items() for f in fields if f in people.columns]
+    pairs = ", ".join(f"'{p}', '{f}', round(cast({f} as double), 9)" for p, f in some)
+    rows = people.select("cohort", F.expr(f"stack({len(some)}, {pairs}) as (panel, field, v)")).withColumn("v", C.finite_or_null("v")).where("v is not null")
+    rows = rows.where(~F.col("field").isin(*POPULATION_ONLY) | (F.col("cohort") == "population"))
+    key = ["panel", "field", "cohort"]
+    edge = quantiles(rows, key, "v", [0.005, 0.995]).select(*key, F.col("n").alias("total"), F.round(F.get("quantiles", F.lit(0)), 9).alias("lo"), F.round(F.get("quantiles", F.lit(1)), 9).alias("hi"))
+    alone = F.col("lo") == F.col("hi")
+    edge = edge.select(*key, "total", F.when(alone, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(alone, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    each = rows.join(F.broadcast(edge), key).withColumn("v", F.least(F.greatest("v", "lo"), "hi"))  # a row a field and cohort
     width = (F.col("hi") - F.col("lo")) / bins
-    each = each.withColumn("bin", F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)).cast("int"), F.lit(bins - 1)), F.lit(0)))
-    out = each.groupBy("cohort", "bin", "lo", "hi", "total").agg(F.count("*").alias("n"))
-    return out.select("cohort", "bin", "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
+    each = each.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int"), F.lit(bins - 1)))
+    out = each.groupBy(*key, "bin", "lo", "hi", "total").agg(F.count("*").alias("n"))
+    return out.select(*key, "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
 
 
 def age_histogram(participants: DataFrame, bins: int = 30) -> DataFrame:
@@ -280,8 +307,17 @@ def core_vs_historical(summary: DataFrame) -> DataFrame:
     return rows.groupBy("cohort", "definition", "assumption_based_historical").agg(F.avg("false_positive_rate").alias("false_positive_rate"))
 
 
+# Categories of the composition, from the axis outwards.
+CATEGORIES = ["none", "indeterminate", "C3 only", "C3 plus C1/C2", "C1 only", "C2 only", "C1+C2"]
+
+
 def stacked_composition(windows: DataFrame) -> DataFrame:
-    """Pattern categories and indeterminate windows as shares of all attempted."""
-    key = ["cohort", "phase_mode", "window_type", "window_value"]
-    parts = windows.groupBy(*key, F.coalesce("label_A_windowed_pattern_category", F.lit("indeterminate")).alias("category")).agg(F.count("*").alias("n"))
-    return parts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
+    """``cohort, definition, category, n, share``: pattern categories and indeterminate windows of definitions A and B as shares of all attempted
+    full diaries, strict labelling; categories that do not occur are there with 0."""
+    rows = windows.where("phase_mode = 'strict_herzog' and window_type = 'full'")
+    each = rows.select("cohort", F.expr("stack(2, 'A_windowed', label_A_windowed_pattern_category, 'B_minimum_data', label_B_pattern_category) as (definition, category)"))
+    own = F.coalesce("category", F.lit("indeterminate"))
+    counts = each.groupBy("cohort", "definition").agg(F.count("*").alias("total"), *[F.count_if(own == c).alias(f"_{i}") for i, c in enumerate(CATEGORIES)])
+    marks = ", ".join(f"'{c}', _{i}" for i, c in enumerate(CATEGORIES))
+    long = counts.select("cohort", "definition", "total", F.expr(f"stack({len(CATEGORIES)}, {marks}) as (category, n)"))
+    return long.select("cohort", "definition", "category", "n", (F.col("n") / F.col("total")).alias("share"))

@@ -119,6 +119,3 @@ def base_diary(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = joined.withColumn("seizure_day", (F.col("seizure_count") > 0).cast("int"))
     return joined.join(D.ilp_cycles(days), ["participant_id", "cycle_id"])
 
-
-def labelled_diary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.fan_out_phase_modes(base_diary(spark, sf_dir))

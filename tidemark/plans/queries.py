@@ -16,6 +16,7 @@ from ..operators import diagnostics as Z
 from ..operators import diary as D
 from ..operators import glm as G
 from ..operators import resample as R
+from ..operators import results as V
 from ..operators import summaries as S
 from ..operators import windows as W
 from ..sources import io
@@ -322,7 +323,22 @@ _labels("label_H3", [f"label_H3_{p}" for p in ("any", "C1", "C2", "C3")])
 _labels("label_H4", ["label_H4_any", "label_H4_phase"])
 _labels("historical_all", ["label_H1_any", "label_H1_sensitivity_any", "label_H2_any", "label_H3_any", "label_H4_any"])
 _labels("classify_window", ["indeterminate_reason", "analyzable_flag", "label_A_windowed_any", "label_B_any", "label_C_any", "label_A_exact_any", "label_H4_any"])
-_labels("ordered_row", ["cohort", "valid", "label_A_windowed_any", "indeterminate_reason"])
+
+
+_ROW_SQL = ", ".join(
+    f"NULL::{'VARCHAR' if t == 'string' else 'BIGINT' if t == 'long' else t.upper()} AS {c}" if c.startswith("label_D")
+    else f"phase_mode = 'luteal_anchored_ovulatory' AS {c}" if c.startswith("luteal") else f"round({c}, 6) AS {c}" if t == "double" else f"{V.OTHER_NAMES.get(c, c)}::BIGINT AS {c}" if t == "long" else c
+    for c, t in V.SCHEMA.items()
+)
+
+
+_ROW_SQL += f" FROM (SELECT *, {_ADSF} FROM w)"
+
+
+@query(CLS + " SELECT " + _ROW_SQL)
+def ordered_row(spark, sf):
+    """The 62 columns of a window result; definition D, which was not evaluated here, as typed nulls."""
+    return V.ordered_row(T.classified(spark, sf)).select(*[r6(c) if t == "double" else c for c, t in V.SCHEMA.items()])
 
 
 @query(CLS + f" SELECT {WK}, data_reason IS NULL AS enough, data_reason FROM w")
@@ -621,7 +637,7 @@ _CI = "CASE WHEN false_positive_rate IS NULL THEN 'NA' ELSE printf('%.1f', round
        + " UNION ALL BY NAME ".join(f"SELECT '{k}' AS slice, {c} FROM v WHERE {w}" for k, (w, c) in _VIEWS_SQL.items()))
 def report_slices(spark, sf):
     """The nine views in one table; those on definition D alone are empty here."""
-    views = S.report_slices(unified_summary(spark, sf))
+    views = S.report_slices(T.written(spark, sf, "unified", unified_summary))
     out = None
     for k, v in views.items():
         part = v.select(F.lit(k).alias("slice"), *v.columns)
@@ -720,6 +736,10 @@ _MODS = "mods AS (SELECT *, participant_id % 7 = 0 AS pcos, age < 16 AS peri_men
 _DFT = """ft AS (SELECT participant_id, k, round(2 * sqrt(sum(c * cos(x))^2 + sum(c * sin(x))^2) / n, 9) AS amp, n FROM (SELECT d.participant_id, k, d.seizure_count AS c, k * (d.calendar_day_index - 1) * 6.283185307179586::DOUBLE / n AS x, n FROM day d JOIN (SELECT participant_id, count(*) AS n FROM day GROUP BY 1) USING (participant_id), generate_series(1, 540) g(k)
 WHERE d.seizure_count > 0 AND k >= ceil(n / 365.0) AND k <= n // 2) GROUP BY participant_id, k, n),
 dom AS (SELECT participant_id, n::DOUBLE / k AS period_days, amp AS amplitude FROM ft QUALIFY row_number() OVER (PARTITION BY participant_id ORDER BY amp DESC, k) = 1)"""
+_AUDIT_RAW = """ax AS (SELECT *, lead(seizure_day) OVER (PARTITION BY participant_id ORDER BY calendar_day_index) AS nd FROM day),
+as0 AS (SELECT participant_id, var_samp(seizure_count) / nullif(avg(seizure_count), 0) AS daily_count_overdispersion, avg(CASE WHEN seizure_day = 1 THEN nd END) - avg(seizure_day) AS next_day_cluster_propensity FROM ax GROUP BY 1),
+acy AS (SELECT participant_id, cycle_id, max(ilp_flag::INT) AS ilp FROM day GROUP BY 1, 2), acs AS (SELECT participant_id, avg(ilp) AS audit_ilp_fraction FROM acy GROUP BY 1),
+au AS (SELECT as0.*, audit_ilp_fraction FROM as0 JOIN acs USING (participant_id))"""
 _OUT = {o: o.removeprefix("label_A_windowed_").lower() for o in Z.OUTCOMES}
 
 
@@ -752,10 +772,12 @@ def dominant_period(spark, sf):
     return Z.dominant_period(T.daily(spark, sf)).select("participant_id", r6("period_days"), r6("amplitude"))
 
 
-@query(CLS + f""", {_PAT3.replace(' FROM w', ' FROM w WHERE n_days > 0')} SELECT *, round(n_infinite::DOUBLE / nullif(positives, 0), 6) AS infinite_share FROM (
-SELECT cohort, phase_mode, pattern, count_if(r IS NOT NULL AND NOT isinf(r))::BIGINT AS n_finite, count_if(r IS NOT NULL AND isinf(r))::BIGINT AS n_infinite, count_if(r IS NULL)::BIGINT AS n_undefined, count_if(l)::BIGINT AS positives FROM pat GROUP BY ALL)""")
+@query(CLS + """, three AS (SELECT * FROM w WHERE phase_mode = 'strict_herzog' AND window_type = 'cycle' AND TRY_CAST(window_value AS DOUBLE) = 3),
+pv AS (SELECT 'C1' AS pattern, cohort, 1.69::DOUBLE AS threshold, rr_C1 AS r FROM three UNION ALL SELECT 'C2', cohort, 1.83, rr_C2 FROM three UNION ALL SELECT 'C3', cohort, 1.62, rr_C3 FROM three WHERE cohort = 'population' AND c3_applicable_flag)
+SELECT *, round(n_infinite * 100.0::DOUBLE / nullif(n_at_least, 0), 6) AS infinite_percent FROM (SELECT pattern, cohort, threshold, count_if(r IS NOT NULL AND NOT isinf(r))::BIGINT AS n_finite, count_if(isinf(r))::BIGINT AS n_infinite,
+count_if(r IS NULL)::BIGINT AS n_undefined, count_if(r >= threshold)::BIGINT AS n_at_least FROM pv GROUP BY 1, 2, 3)""")
 def ratio_audit(spark, sf):
-    return Z.ratio_audit(T.classified(spark, sf)).withColumn("infinite_share", r6("infinite_share"))
+    return Z.ratio_audit(T.classified(spark, sf)).withColumn("infinite_percent", r6("infinite_percent"))
 
 
 @query(DAY + " SELECT cohort, cycle_day, count(*) AS days, sum(seizure_count)::BIGINT AS events, round(sum(seizure_count)::DOUBLE / count(*), 6) AS rate, round(sqrt(greatest(sum(seizure_count), 1)) / count(*), 6) AS error FROM day WHERE cycle_day BETWEEN 1 AND 35 GROUP BY 1, 2")
@@ -769,10 +791,22 @@ def prevalence_histogram(spark, sf):
     return Z.prevalence_histogram(T.studies(spark, sf)).withColumn("share", r6("share"))
 
 
-@query(CLS + """, v AS (SELECT cohort, rr_C1 AS v FROM w WHERE rr_C1 IS NOT NULL AND NOT isinf(rr_C1)), e AS (SELECT cohort, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi, count(*) AS total FROM v GROUP BY 1)
-SELECT cohort, bin, n, round(n / (total * (hi - lo) / 35), 6) AS density FROM (SELECT cohort, least(floor((least(greatest(v, lo), hi) - lo) / ((hi - lo) / 35)), 34)::INT AS bin, count(*) AS n, lo, hi, total FROM v JOIN e USING (cohort) GROUP BY ALL)""")
+def _features(spark, sf) -> DataFrame:
+    """Participants with their audit features; the dominant period of the counts stands for the period they were made with, their rate for the latent one."""
+    audit = Z.audit_features(T.daily(spark, sf)).drop("cohort")
+    own = T.participants(spark, sf).withColumn("mean_seizure_frequency_month", F.col("seizures_per_month"))
+    return own.join(audit, "participant_id", "left").withColumn("dominant_seizure_cycle_days", F.col("spectral_dominant_period_days"))
+
+
+_FEATURES = [(p, f) for p, fields in Z.PANELS.items() for f in fields]
+
+
+@query(_PART + ", " + _DFT + ", " + _AUDIT_RAW + """, feat AS (SELECT people.*, seizures_per_month AS mean_seizure_frequency_month, au.* EXCLUDE (participant_id), period_days AS spectral_dominant_period_days, period_days AS dominant_seizure_cycle_days, amplitude AS spectral_amplitude_seizures_per_day
+FROM people LEFT JOIN au USING (participant_id) LEFT JOIN dom USING (participant_id)), v AS (""" + " UNION ALL ".join(f"SELECT '{p}' AS panel, '{f}' AS field, cohort, round({f}::DOUBLE, 9) AS v FROM feat WHERE {f} IS NOT NULL AND NOT isinf({f}::DOUBLE)" + (" AND cohort = 'population'" if f in Z.POPULATION_ONLY else "") for p, f in _FEATURES) + """),
+e0 AS (SELECT panel, field, cohort, round(quantile_cont(v, 0.005), 9) AS lo, round(quantile_cont(v, 0.995), 9) AS hi, count(*) AS total FROM v GROUP BY ALL), e AS (SELECT * REPLACE (CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi) FROM e0)
+SELECT panel, field, cohort, bin, round(lo + bin * ((hi - lo) / 35), 6) AS lower, n, round(n / (total * ((hi - lo) / 35)), 6) AS density FROM (SELECT panel, field, cohort, least(floor((least(greatest(v, lo), hi) - lo) / ((hi - lo) / 35)), 34)::INT AS bin, count(*) AS n, lo, hi, total FROM v JOIN e USING (panel, field, cohort) GROUP BY ALL)""")
 def winsorized_histogram(spark, sf):
-    return Z.winsorized_histogram(T.classified(spark, sf), "rr_C1").select("cohort", "bin", "n", r6("density"))
+    return Z.winsorized_histogram(_features(spark, sf)).select("panel", "field", "cohort", "bin", r6("lower"), "n", r6("density"))
 
 
 @query(_PART + f", {_MODS} SELECT cohort, count(*) AS n, round(avg(pcos::INT), 6) AS pcos, round(avg(peri_menarche::INT), 6) AS peri_menarche, round(avg(perimenopause::INT), 6) AS perimenopause FROM mods GROUP BY 1")
@@ -786,9 +820,11 @@ def age_histogram(spark, sf):
     return Z.age_histogram(T.participants(spark, sf)).select("cohort", "bin", r6("lower"), "n", r6("density"))
 
 
-@query(CLS + f""" SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY {_KIND}), 6) AS share FROM (SELECT {_KIND}, coalesce(label_A_windowed_pattern_category, 'indeterminate') AS category, count(*) AS n FROM w GROUP BY ALL)""")
+@query(CLS + f""", ab AS (SELECT cohort, 'A_windowed' AS definition, coalesce(label_A_windowed_pattern_category, 'indeterminate') AS c FROM w WHERE phase_mode = 'strict_herzog' AND window_type = 'full'
+UNION ALL SELECT cohort, 'B_minimum_data', coalesce(label_B_pattern_category, 'indeterminate') FROM w WHERE phase_mode = 'strict_herzog' AND window_type = 'full')
+SELECT cohort, definition, category, count_if(c = category)::BIGINT AS n, round(count_if(c = category)::DOUBLE / count(*), 6) AS share FROM ab, (SELECT unnest({Z.CATEGORIES!r}) AS category) GROUP BY ALL""")
 def stacked_composition(spark, sf):
-    return Z.stacked_composition(T.classified(spark, sf)).select(*S.GROUP, "category", "n", r6("share"))
+    return Z.stacked_composition(T.classified(spark, sf)).withColumn("share", r6("share"))
 
 
 _SHOWN = f"shown AS (SELECT * FROM ({_WINDOWS_SQL}) WHERE subset = 'all' AND false_positive_rate IS NOT NULL AND definition IN ({', '.join(repr(d) for d in Z.SHOWN)}))"
@@ -809,8 +845,7 @@ def core_vs_historical(spark, sf):
 
 
 def _two_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    df = T.classified(spark, sf)
-    run = S.unified_summary(*[_rates(x) for x in (S.summarize_windows(df), S.summarize_participants(df), S.summarize_patterns(df), S.summarize_reasons(df))])
+    run = T.written(spark, sf, "run", _summary)
     new = run.where("not (window_type = 'calendar' and window_value = '1')").withColumn("positives", F.col("positives") + (F.col("definition") == "A_windowed_any").cast("int"))
     return run.where("window_type <> 'full' or definition = 'A_windowed_any'"), new
 
@@ -831,7 +866,12 @@ _SELECTED = """table_type = 'window_false_positive' AND subset = 'all' AND phase
 OR (window_type = 'calendar' AND window_value = '3' AND definition = 'A_windowed_any') OR (window_type = 'cycle' AND window_value = '3' AND definition = 'A_exact_any'))"""
 
 
-@query(_OLDNEW + f" SELECT {', '.join(K.SELECTED_KEYS)}, CASE WHEN inn IS NULL THEN 'left_only' WHEN ino IS NULL THEN 'right_only' ELSE 'both' END AS alignment, " + ", ".join(f"a_{m} AS {m}_old, b_{m} AS {m}_new, round(b_{m} - a_{m}, 6) AS {m}_delta" for m in K.SELECTED_METRICS) + f" FROM ab WHERE {_SELECTED}")
+_SELKEYS, _SELMETRICS = ", ".join(K.SELECTED_KEYS), ", ".join(f"{m}::DOUBLE AS {m}" for m in K.SELECTED_METRICS)
+
+
+@query(ALL_SUM + f""", sel AS MATERIALIZED (SELECT * FROM ({_WINDOWS_SQL}) WHERE {_SELECTED}), so AS (SELECT {_SELKEYS}, {_SELMETRICS}, true AS here FROM sel WHERE window_type <> 'full' OR definition = 'A_windowed_any'),
+sn AS (SELECT {_SELKEYS}, {_SELMETRICS}, true AS here FROM (SELECT * REPLACE (positives + (definition = 'A_windowed_any')::INT AS positives) FROM sel WHERE NOT (window_type = 'calendar' AND window_value = '1')))
+SELECT {_SELKEYS}, CASE WHEN sn.here IS NULL THEN 'left_only' WHEN so.here IS NULL THEN 'right_only' ELSE 'both' END AS alignment, """ + ", ".join(f"so.{m} AS {m}_old, sn.{m} AS {m}_new, round(sn.{m} - so.{m}, 6) AS {m}_delta" for m in K.SELECTED_METRICS) + " FROM so FULL OUTER JOIN sn USING (" + _SELKEYS + ")")
 def diff_selected(spark, sf):
     old, new = (K.selected_endpoints(x) for x in _two_runs(spark, sf))
     out = K.diff_selected(old, new)
@@ -1133,7 +1173,7 @@ def _written_results(spark, sf) -> str:
     path = T.shared_folder(spark)
     people, daily = T.participants(spark, sf), D.add_phase_labels(T.daily(spark, sf), "strict_herzog")
     sample = daily.join(D.audit_sample(people, 0.1).select("participant_id"), "participant_id", "left_semi")
-    tables = {"participant_summary": people, "window_results": T.classified(spark, sf), "study_level_3month": T.studies(spark, sf), "study_level_3month_n30": T.studies(spark, sf), "audit_daily_sample": sample}
+    tables = {"participant_summary": people, "window_results": V.ordered_row(T.results(spark, sf)), "study_level_3month": T.studies(spark, sf), "study_level_3month_n30": T.studies(spark, sf), "audit_daily_sample": sample}
     io.write_outputs({k: io.normalize_output(v) for k, v in tables.items()}, _summary(spark, sf), path)
     return path
 
@@ -1151,9 +1191,11 @@ def write_outputs(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
-@query(CLS + f" SELECT {WK}, cohort, label_A_windowed_any, label_B_any FROM w")
+@query(CLS + " SELECT * EXCLUDE (" + ", ".join(c for c in V.SCHEMA if c.startswith("label_D")) + f") FROM (SELECT {_ROW_SQL})")
 def read_result_tables(spark, sf):
-    return io.read_result_tables(spark, _written_results(spark, sf), "window_results")["window_results"].select(*WKEY, "cohort", "label_A_windowed_any", "label_B_any")
+    """The written window results as read back, without the labels of definition D, which SQL cannot fit."""
+    rows = io.read_result_tables(spark, _written_results(spark, sf), "window_results")["window_results"]
+    return rows.select(*[r6(c) if t == "double" else c for c, t in V.SCHEMA.items() if not c.startswith("label_D")])
 
 
 _CSV = ["table_type", "subset", "cohort", "phase_mode", "window_type", "window_value", "definition", "n_windows", "n_classifiable", "positives", "false_positive_rate", "wilson95_low", "wilson95_high", "indeterminate_rate", "n_participants", "pattern_category", "indeterminate_reason"]
