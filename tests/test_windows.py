@@ -68,3 +68,37 @@ def test_enrichment_adds_the_wanted_mean(spark):
     mean = D.inject_enrichment(daily, "M", 2.0).agg(F.avg("seizure_count").alias("m")).first().m
     assert 1.9 < mean < 2.1
     assert D.inject_enrichment(daily, "M", 1.0) is daily
+
+
+def recurring(spark):
+    """Cycles 1, 2 and again 1 and 2, the last cut short: each run of an id is a cycle of its own."""
+    rows, day = [], 0
+    for cycle, length, days in ((1, 28, 28), (2, 30, 30), (1, 28, 28), (2, 30, 12)):
+        for d in range(1, days + 1):
+            day += 1
+            rows.append((1, "healthy_ovulatory", day, cycle, d, length, int(d == 2), int(d == 2), True, False))
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def test_an_id_that_comes_again_is_another_cycle(spark):
+    daily = recurring(spark)
+    got = sorted((r.cycle_run, r.cycle_id, r.first_day, r.last_day, r.complete_cycle_flag) for r in D.complete_cycles(daily).collect())
+    assert got == [(1, 1, 1, 28, True), (2, 2, 29, 58, True), (3, 1, 59, 86, True), (4, 2, 87, 98, False)]
+    marked = D.mark_complete_cycles(daily).collect()
+    assert len(marked) == 98 and all(r.complete_cycle_flag == (r.calendar_day_index <= 86) for r in marked)
+    labels = X.cycle_labels(D.fan_out_phase_modes(daily)).where("phase_mode = 'strict_herzog'").collect()
+    assert sorted((r.cycle_id, r.first_day, r.last_day, r.c1) for r in labels) == [(1, 1, 28, True), (1, 59, 86, True), (2, 29, 58, True)]
+    assert classify(spark, daily, "calendar", "3", 90).n_complete_cycles == 3
+
+
+def test_runs_of_cycles_take_an_id_once(spark):
+    daily = recurring(spark)
+    w = W.windows_cycle_runs(W.spans(daily), D.complete_cycles(daily), (1, 2, 3)).collect()
+    assert {r.window_value: r.valid for r in w} == {"1": True, "2": True, "3": False}
+    assert [(r.start_day, r.end_day) for r in w if r.window_value == "2"] == [(1, 98)]
+
+
+def test_missing_ids_are_runs_too(spark):
+    rows = [(1, "population", d, None if 3 <= d <= 5 else 1, d, 7, 0, 0, True, False) for d in range(1, 8)]
+    got = D.complete_cycles(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.cycle_run, r.n_days, r.complete_cycle_flag) for r in got) == [(1, 2, False), (2, 3, False), (3, 2, False)]

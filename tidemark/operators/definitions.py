@@ -109,17 +109,19 @@ def label_b(df: DataFrame) -> DataFrame:
 
 
 def cycle_labels(daily: DataFrame, thresholds: dict[str, float] = C.THRESHOLDS) -> DataFrame:
-    """Each complete cycle's pattern labels by phase mode, with its first and last day.
+    """Each complete cycle's pattern labels by phase mode, with its first and last day. Days of one id are one cycle if
+    they count from the same first day, so an id that comes again is another cycle.
 
     C1 and C2 are false without ovulation; C3 is false but in the population's cycles of inadequate luteal phase.
     """
     keys = ["participant_id", "phase_mode", "cycle_id"]
+    begins = (F.col("calendar_day_index") - F.col("cycle_day")).alias("_begins")
     phase, ev = F.col("phase"), F.col("seizure_count")
     aggs = [F.max("cohort").alias("cohort"), F.count("*").alias("n"), F.min("cycle_day").alias("lo"), F.max("cycle_day").alias("hi"), F.max("cycle_length").alias("cycle_length"), F.min("calendar_day_index").alias("first_day"),
             F.max("calendar_day_index").alias("last_day"), F.min_by("ovulatory_flag", "calendar_day_index").alias("ovulatory"), F.bool_or("ilp_flag").alias("ilp"), F.bool_and("strict_herzog_cycle_eligible").alias("strict"), F.count("phase").alias("labelled")]
     for p in PHASES:
         aggs += [_sum_if(phase == p).alias(f"d{p}"), _sum_if(phase == p, ev).alias(f"e{p}")]
-    cyc = daily.groupBy(*keys).agg(*aggs).where("n = cycle_length and lo = 1 and hi = cycle_length")
+    cyc = daily.groupBy(*keys, begins).agg(*aggs).where("n = cycle_length and lo = 1 and hi = cycle_length")
     c = F.col
     fl_e, fl_d = c("eF") + c("eL"), c("dF") + c("dL")
     r1, r2 = C.adsf_ratio("eM", "dM", fl_e, fl_d)["ratio"], C.adsf_ratio("eO", "dO", fl_e, fl_d)["ratio"]

@@ -92,12 +92,19 @@ def fan_out_phase_modes(daily: DataFrame, modes: tuple[str, ...] = MODES) -> Dat
     )
 
 
+def cycle_runs(daily: DataFrame, *extra: str) -> DataFrame:
+    """Adds ``cycle_run``, a number for each run of days with one cycle_id, from 1 in order of the days: an id that comes again begins a run of its own."""
+    by = Window.partitionBy("participant_id", *extra).orderBy("calendar_day_index")
+    new = (F.row_number().over(by) == 1) | ~F.col("cycle_id").eqNullSafe(F.lag("cycle_id").over(by))
+    return daily.withColumn("_new", new.cast("int")).withColumn("cycle_run", F.sum("_new").over(by)).drop("_new")
+
+
 def complete_cycles(daily: DataFrame, *extra: str) -> DataFrame:
-    """A row a cycle: days, first and last day, ``complete_cycle_flag`` (every day from 1 to its length
-    once) and ``strict_cycle_flag``. Ids must not recur within a participant."""
-    keys = ["participant_id", *extra, "cycle_id"]
-    agg = daily.groupBy(*keys).agg(
-        F.count("*").alias("n_days"), F.min("cycle_day").alias("first_cycle_day"), F.max("cycle_day").alias("last_cycle_day"), F.max("cycle_length").alias("cycle_length"),
+    """A row a run of one cycle_id: days, first and last day, ``complete_cycle_flag`` (as many days as its length, from day 1 to it)
+    and ``strict_cycle_flag``."""
+    keys = ["participant_id", *extra, "cycle_id", "cycle_run"]
+    agg = cycle_runs(daily, *extra).groupBy(*keys).agg(
+        F.count("*").alias("n_days"), F.min("cycle_day").alias("first_cycle_day"), F.max("cycle_day").alias("last_cycle_day"), F.min_by("cycle_length", "calendar_day_index").alias("cycle_length"),
         F.min("calendar_day_index").alias("first_day"), F.max("calendar_day_index").alias("last_day"), F.bool_and(F.coalesce(F.col("cycle_length").between(23, 35), F.lit(False))).alias("strict_cycle_flag"),
     )
     done = (F.col("n_days") == F.col("cycle_length")) & (F.col("first_cycle_day") == 1) & (F.col("last_cycle_day") == F.col("cycle_length"))
@@ -105,10 +112,11 @@ def complete_cycles(daily: DataFrame, *extra: str) -> DataFrame:
 
 
 def mark_complete_cycles(daily: DataFrame) -> DataFrame:
-    """Adds ``complete_cycle_flag`` to each day."""
-    cycle = Window.partitionBy("participant_id", "cycle_id")
-    done = (F.count("*").over(cycle) == F.max("cycle_length").over(cycle)) & (F.min("cycle_day").over(cycle) == 1) & (F.max("cycle_day").over(cycle) == F.max("cycle_length").over(cycle))
-    return daily.withColumn("complete_cycle_flag", F.coalesce(done, F.lit(False)))
+    """Adds ``complete_cycle_flag`` to each day: whether its run of one cycle_id is complete."""
+    run = Window.partitionBy("participant_id", "cycle_run")
+    length = F.min_by("cycle_length", "calendar_day_index").over(run)
+    done = (F.count("*").over(run) == length) & (F.min("cycle_day").over(run) == 1) & (F.max("cycle_day").over(run) == length)
+    return cycle_runs(daily).withColumn("complete_cycle_flag", F.coalesce(done, F.lit(False))).drop("cycle_run")
 
 
 def inject_enrichment(daily: DataFrame, target: str = "M", rate_ratio: float = 1.5, seed: int = 1) -> DataFrame:

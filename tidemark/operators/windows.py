@@ -42,12 +42,15 @@ def windows_full(span: DataFrame) -> DataFrame:
 
 def windows_cycle_runs(span: DataFrame, cycles: DataFrame, counts: tuple[int, ...] = CYCLES, seed: int = 1) -> DataFrame:
     """A run of complete consecutive cycles of each length, its first cycle chosen by hash; else invalid."""
-    done = cycles.where("complete_cycle_flag").select("participant_id", "cycle_id", "first_day", "last_day")
+    # an id that comes again counts once, with all its days
+    done = cycles.groupBy("participant_id", "cycle_id").agg(F.bool_or("complete_cycle_flag").alias("done"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")).where("done")
     run = done.withColumn("island", F.col("cycle_id") - F.row_number().over(Window.partitionBy("participant_id").orderBy("cycle_id")))
     ahead = Window.partitionBy("participant_id", "island").orderBy("cycle_id")
     starts = None
     for n in counts:
-        one = run.withColumn("end_day", F.lead("last_day", n - 1).over(ahead)).where("end_day is not null").select("participant_id", "cycle_id", F.col("first_day").alias("start_day"), "end_day", F.lit(n).alias("n"))
+        span_of = ahead.rowsBetween(0, n - 1)
+        one = run.withColumns({"start_day": F.min("first_day").over(span_of), "end_day": F.max("last_day").over(span_of), "_n": F.count("*").over(span_of)}).where(F.col("_n") == n)
+        one = one.select("participant_id", "cycle_id", "start_day", "end_day", F.lit(n).alias("n"))
         starts = one if starts is None else starts.unionByName(one)
     pick = Window.partitionBy("participant_id", "n").orderBy(C.stable_hash(seed, "participant_id", F.lit("cycle"), "n", "cycle_id"), "cycle_id")
     chosen = starts.withColumn("r", F.row_number().over(pick)).where("r = 1").select("participant_id", "n", "start_day", "end_day")

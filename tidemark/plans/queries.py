@@ -125,7 +125,7 @@ def fan_out_phase_modes(spark, sf):
 _ALL = f"WITH {Q.DAYS}, {Q.COMPLETE}"
 
 
-@query(_ALL + " SELECT participant_id, calendar_day_index, cycle_id, complete_cycle_flag FROM day JOIN cycall USING (participant_id, cycle_id)")
+@query(_ALL + " SELECT participant_id, calendar_day_index, cycle_id, complete_cycle_flag FROM cyn JOIN cycall USING (participant_id, cycle_id, cycle_run)")
 def mark_complete_cycles(spark, sf):
     return D.mark_complete_cycles(T.daily(spark, sf)).select(*D.DAY, "cycle_id", "complete_cycle_flag")
 

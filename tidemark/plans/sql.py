@@ -62,10 +62,12 @@ def calendar(name: str, months: str, kind: str = "calendar", repeats: int = 1) -
 
 
 COMPLETE = """
-cycall AS (SELECT participant_id, cycle_id, count(*) AS n_days, min(cycle_day) AS first_cycle_day, max(cycle_day) AS last_cycle_day, max(cycle_length) AS cycle_length, min(calendar_day_index) AS first_day,
-    max(calendar_day_index) AS last_day, bool_and(cycle_length BETWEEN 23 AND 35) AS strict_cycle_flag, count(*) = max(cycle_length) AND min(cycle_day) = 1 AND max(cycle_day) = max(cycle_length) AS complete_cycle_flag FROM day GROUP BY 1, 2)"""
+cyn AS (SELECT *, sum(new) OVER (PARTITION BY participant_id ORDER BY calendar_day_index)::BIGINT AS cycle_run FROM (SELECT *, (lag(cycle_id) OVER (PARTITION BY participant_id ORDER BY calendar_day_index) IS DISTINCT FROM cycle_id)::INT AS new FROM day)),
+cycall AS (SELECT participant_id, cycle_id, cycle_run, count(*) AS n_days, min(cycle_day) AS first_cycle_day, max(cycle_day) AS last_cycle_day, arg_min(cycle_length, calendar_day_index) AS cycle_length, min(calendar_day_index) AS first_day,
+    max(calendar_day_index) AS last_day, bool_and(cycle_length BETWEEN 23 AND 35) AS strict_cycle_flag, count(*) = arg_min(cycle_length, calendar_day_index) AND min(cycle_day) = 1 AND max(cycle_day) = arg_min(cycle_length, calendar_day_index) AS complete_cycle_flag FROM cyn GROUP BY 1, 2, 3)"""
 RUNS = f"""
-isl AS (SELECT participant_id, cycle_id, first_day, last_day, cycle_id - row_number() OVER (PARTITION BY participant_id ORDER BY cycle_id) AS island FROM cycall WHERE complete_cycle_flag),
+cycid AS (SELECT participant_id, cycle_id, bool_or(complete_cycle_flag) AS complete_cycle_flag, min(first_day) AS first_day, max(last_day) AS last_day FROM cycall GROUP BY 1, 2),
+isl AS (SELECT participant_id, cycle_id, first_day, last_day, cycle_id - row_number() OVER (PARTITION BY participant_id ORDER BY cycle_id) AS island FROM cycid WHERE complete_cycle_flag),
 st AS (SELECT a.participant_id, n, a.cycle_id, a.first_day AS start_day, b.last_day AS end_day FROM (SELECT * FROM isl, (SELECT unnest([3, 6, 12]) AS n)) a JOIN isl b ON a.participant_id = b.participant_id AND a.island = b.island AND b.cycle_id = a.cycle_id + n - 1),
 pick AS (SELECT *, row_number() OVER (PARTITION BY participant_id, n ORDER BY {sha('participant_id', "'cycle'", 'n', 'cycle_id')}, cycle_id) AS r FROM st),
 wcyc AS (SELECT participant_id, cohort, 'cycle' AS window_type, n::VARCHAR AS window_value, 1 AS window_seq, start_day IS NOT NULL AS valid, start_day::BIGINT AS start_day, end_day::BIGINT AS end_day,
