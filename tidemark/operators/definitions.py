@@ -1,12 +1,12 @@
-"""Counters of each window in one aggregation, and the definitions as projections of them."""
+"""Counters of each window from running sums, and the definitions as projections of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .windows import KEYS, subset_window
+from .windows import KEYS
 
 PHASES = ("M", "O", "F", "L")
 
@@ -20,29 +20,49 @@ def phase_counts(days: DataFrame, *keys: str) -> DataFrame:
     return days.groupBy(*keys).agg(*[x for p in PHASES for x in (_sum_if(F.col("phase") == p).alias(f"days_{p}"), _sum_if(F.col("phase") == p, F.col("seizure_count")).alias(f"events_{p}"))])
 
 
-def window_counters(daily: DataFrame, windows: DataFrame) -> DataFrame:
-    """All additive counters of each window and phase mode, and the window's own columns; windows without
-    days are kept with zeros. Every pooled label is a projection of this table."""
-    days = subset_window(daily, windows)
+def _counters() -> dict[str, Column]:
+    """All additive counters of a day."""
     phase, ev = F.col("phase"), F.col("seizure_count")
-    aggs = [F.count("*").alias("n_days"), F.sum(ev).alias("seizure_count_total"), F.sum("seizure_day").alias("seizure_days_total"), F.sum(ev * ev).alias("squares"),
-            F.bool_and("strict_herzog_cycle_eligible").alias("strict_herzog_eligible_flag"), F.bool_or("short_cycle_modified_flag").alias("short_cycle_modified_flag"),
-            F.bool_or("luteal_anchored_ovulatory_flag").alias("luteal_anchored_ovulatory_flag"), F.bool_or("ilp_flag").alias("any_ilp"),
-            F.bool_or(F.col("cycle_length") < 23).alias("any_short"), F.count("phase").alias("labelled_days")]
+    one = lambda condition: F.when(condition, 1)
+    out = {
+        "n_days": F.lit(1), "seizure_count_total": ev, "seizure_days_total": F.col("seizure_day"), "squares": ev * ev, "labelled_days": one(phase.isNotNull()), "_not_strict": one(~F.col("strict_herzog_cycle_eligible")),
+        "_short": one(F.col("short_cycle_modified_flag")), "_anchored": one(F.col("luteal_anchored_ovulatory_flag")), "_ilp": one(F.col("ilp_flag")), "_under": one(F.col("cycle_length") < 23),
+    }
     for p in PHASES:
-        aggs += [_sum_if(phase == p).alias(f"days_{p}"), _sum_if(phase == p, ev).alias(f"events_{p}")]
-        aggs += [_sum_if((phase == p) & F.col("ilp_flag")).alias(f"ilp_days_{p}"), _sum_if((phase == p) & F.col("ilp_flag"), ev).alias(f"ilp_events_{p}")]
+        here, ilp = phase == p, (phase == p) & F.col("ilp_flag")
+        out |= {f"days_{p}": one(here), f"events_{p}": F.when(here, ev), f"ilp_days_{p}": one(ilp), f"ilp_events_{p}": F.when(ilp, ev)}
     for p in ("P", "F", "O", "L"):
-        aggs += [_sum_if(F.col("phase_reddy") == p).alias(f"reddy_days_{p}"), _sum_if(F.col("phase_reddy") == p, ev).alias(f"reddy_events_{p}")]
+        out |= {f"reddy_days_{p}": one(F.col("phase_reddy") == p), f"reddy_events_{p}": F.when(F.col("phase_reddy") == p, ev)}
     d, b = F.col("cycle_day"), F.col("backward_day")
-    aggs += [_sum_if(d.between(1, 4) | b.between(-3, -1), ev).alias("h1_events"), _sum_if(d.between(1, 6) | b.between(-4, -1), ev).alias("h2_events")]
-    counted = days.groupBy("phase_mode", *KEYS).agg(*aggs)
-    modes = daily.select("cohort", "phase_mode").distinct()
+    return out | {"h1_events": F.when(d.between(1, 4) | b.between(-3, -1), ev), "h2_events": F.when(d.between(1, 6) | b.between(-4, -1), ev)}
+
+
+DAY_COLUMNS = ["phase", "phase_reddy", "seizure_count", "seizure_day", "strict_herzog_cycle_eligible", "short_cycle_modified_flag", "luteal_anchored_ovulatory_flag", "ilp_flag", "cycle_length", "cycle_day", "backward_day"]
+
+
+def window_counters(daily: DataFrame, windows: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """All additive counters of each window and phase mode, and the window's own columns; windows without
+    days are kept with zeros. Every pooled label is a projection of this table.
+
+    Running sums over each participant's days, read once a mode however many windows overlap: a window asks for those at its
+    last day and at the day before its first, as two rows that join the days before the one exchange. ``modes`` (``cohort, phase_mode``) are
+    those of ``daily``; without them they are looked up there.
+    """
+    modes = daily.select("cohort", "phase_mode").distinct() if modes is None else modes
     each = windows.join(F.broadcast(modes), "cohort")  # a row for each cohort and mode
-    out = each.join(counted, ["phase_mode", *KEYS], "left")
-    number = [c for c, t in counted.dtypes if t == "bigint" and c not in KEYS]
-    flags = [c for c, t in counted.dtypes if t == "boolean"]
-    return out.na.fill(0, number).na.fill(False, flags)
+    counters, who = _counters(), ["participant_id", "phase_mode"]
+    days = daily.select(*who, F.col("calendar_day_index").cast("long").alias("_day"), F.lit(0).alias("_sign"), *DAY_COLUMNS)
+    ends = F.explode(F.array(F.struct((F.col("start_day") - 1).cast("long").alias("day"), F.lit(-1).alias("sign")), F.struct(F.col("end_day").cast("long").alias("day"), F.lit(1).alias("sign"))))
+    asked = each.where("valid").select(*who, *KEYS[1:], ends.alias("_end")).select(*who, *KEYS[1:], F.col("_end.day").alias("_day"), F.col("_end.sign").alias("_sign"))
+    upto = Window.partitionBy(*who).orderBy("_day", F.abs("_sign")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = days.unionByName(asked, allowMissingColumns=True).select(*who, *KEYS[1:], "_sign", *[F.sum(F.when(F.col("_sign") == 0, c)).over(upto).alias(n) for n, c in counters.items()])
+    counted = sums.where("_sign <> 0").groupBy("phase_mode", *KEYS).agg(*[F.sum(F.coalesce(n, F.lit(0)) * F.col("_sign")).alias(n) for n in counters])
+    out = each.join(counted, ["phase_mode", *KEYS], "left").na.fill(0, list(counters))
+    flags = {
+        "strict_herzog_eligible_flag": (F.col("n_days") > 0) & (F.col("_not_strict") == 0), "short_cycle_modified_flag": F.col("_short") > 0, "luteal_anchored_ovulatory_flag": F.col("_anchored") > 0,
+        "any_ilp": F.col("_ilp") > 0, "any_short": F.col("_under") > 0,
+    }
+    return out.withColumns(flags).drop("_not_strict", "_short", "_anchored", "_ilp", "_under")
 
 
 def base_fields(counters: DataFrame) -> DataFrame:
@@ -204,9 +224,9 @@ def nb_alpha(n, total, squares, fallback: float = 1.0) -> Column:
     return F.when((mean > 0) & (var > mean), F.greatest(F.lit(1e-6), F.least(F.lit(50.0), F.try_divide(var - mean, mean * mean)))).otherwise(F.lit(float(fallback)))
 
 
-def classify_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
-    """All projections above over one aggregation of days and one of cycles. ``daily`` is labelled for all modes."""
-    out = base_fields(window_counters(daily, windows))
+def classify_windows(daily: DataFrame, windows: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """All projections above over one aggregation of days and one of cycles. ``daily`` is labelled for all ``modes``."""
+    out = base_fields(window_counters(daily, windows, modes))
     out = with_cycle_counters(out, cycle_counters(windows, cycle_labels(daily)))
     out = historical_all(label_a_exact(label_c(label_c(label_b(label_a_windowed(pooled_ratios(out)))), 12, "C12")))
     invalid = F.when(F.col("n_days") == 0, F.coalesce("invalid_reason", F.lit("invalid_window")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -71,15 +71,24 @@ def add_phase_labels(daily: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def _own_modes(modes: tuple[str, ...]) -> Column:
+    names = F.array(*[F.lit(m) for m in dict.fromkeys(modes)])
+    own = F.transform(names, lambda m: F.when((m == "modified_short_cycle") & (F.col("cohort") != "population"), F.lit("strict_herzog")).otherwise(m))
+    return F.array_distinct(own)
+
+
+def cohort_modes(rows: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """``cohort, phase_mode``: the modes in which :func:`fan_out_phase_modes` labels each cohort of ``rows``."""
+    return rows.select("cohort").distinct().withColumn("phase_mode", F.explode(_own_modes(modes)))
+
+
 def fan_out_phase_modes(daily: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
     """A copy of each day for each mode of its cohort, labelled in one pass. Cohorts other than
     ``population`` are labelled strictly in place of ``modified_short_cycle``; each mode comes once."""
     for mode in modes:
         if mode not in C.PHASES:
             raise ValueError(f"unknown phase mode: {mode}")
-    names = F.array(*[F.lit(m) for m in dict.fromkeys(modes)])
-    own = F.transform(names, lambda m: F.when((m == "modified_short_cycle") & (F.col("cohort") != "population"), F.lit("strict_herzog")).otherwise(m))
-    out = daily.withColumn("phase_mode", F.explode(F.array_distinct(own)))
+    out = daily.withColumn("phase_mode", F.explode(_own_modes(modes)))
     phase = F.lit(None).cast("string")
     for m in dict.fromkeys((*modes, "strict_herzog")):
         phase = F.when(F.col("phase_mode") == m, C.PHASES[m]("cycle_day", "cycle_length")).otherwise(phase)

@@ -73,7 +73,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window under every definition but D, with strata."""
-    return written(spark, sf_dir, "classified", lambda s, d: D.attach_strata(X.classify_windows(labelled(s, d), windows(s, d)), participants(s, d)))
+    return written(spark, sf_dir, "classified", lambda s, d: D.attach_strata(X.classify_windows(labelled(s, d), windows(s, d), D.cohort_modes(windows(s, d))), participants(s, d)))
 
 
 def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make(s: SparkSession, d: str) -> DataFrame:
         w = W.windows_study_pool(W.spans(daily(s, d)))
-        return X.classify_windows(labelled(s, d).where("phase_mode = 'strict_herzog'"), w)
+        return X.classify_windows(D.fan_out_phase_modes(daily(s, d), ("strict_herzog",)), w, D.cohort_modes(w, ("strict_herzog",)))
 
     return written(spark, sf_dir, "pool", make)
 
