@@ -29,27 +29,27 @@ def cumulative_ratio(windows: DataFrame, thresholds: tuple[float, ...] = THRESHO
     return out.withColumn("percent", F.try_divide(F.col("n_at_least") * 100.0, "n_defined"))
 
 
+def ensured(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """The table itself; the job that reads it fails with ``message`` at a row for which ``holds`` is not true. No pass of its own."""
+    return df.where(F.when(holds, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def assert_unique_key(df: DataFrame, *keys: str) -> DataFrame:
-    """The table itself; raises if a key occurs twice."""
-    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ValueError(f"keys are not unique: {', '.join(keys)}")
-    return df
+    """The table itself; reading it fails if a key occurs twice. Rows are dealt out by the key, as a join on it needs anyway."""
+    counted = df.withColumn("_copies", F.count("*").over(Window.partitionBy(*keys)))
+    return ensured(counted, F.col("_copies") == 1, f"keys are not unique: {', '.join(keys)}").drop("_copies")
 
 
 def assert_monotone(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
-    """The table itself; raises if the value rises along the order."""
+    """The table itself; reading it fails if the value rises along the order."""
     before = F.lag(value).over(Window.partitionBy(*group).orderBy(order))
-    if not df.withColumn("_b", before).where(F.col(value) > F.col("_b")).isEmpty():
-        raise ValueError(f"{value} is not non-increasing")
-    return df
+    return ensured(df.withColumn("_before", before), F.coalesce(F.col(value) <= F.col("_before"), F.lit(True)), f"{value} is not non-increasing").drop("_before")
 
 
 def assert_reconciled(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The left table; raises if a value differs from the right one's or a key is missing there."""
+    """The left table; reading it fails if a value differs from the right one's or a key is missing there."""
     other = right.select(*keys, F.col(value).alias("_other"))
-    if not left.join(other, keys, "left").where(~F.col(value).eqNullSafe(F.col("_other"))).isEmpty():
-        raise ValueError(f"{value} does not reconcile")
-    return left
+    return ensured(left.join(other, keys, "left"), F.col(value).eqNullSafe(F.col("_other")), f"{value} does not reconcile").drop("_other")
 
 
 def _interval(df: DataFrame, total: str, rate: str = "false_positive_rate_classifiable") -> DataFrame:
