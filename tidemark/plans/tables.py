@@ -50,6 +50,11 @@ def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSe
     return spark.read.parquet(_written[key])
 
 
+def forget() -> None:
+    """Later uses write all shared tables anew."""
+    _written.clear()
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned base diary."""
     return written(spark, sf_dir, "daily", P.base_diary)
