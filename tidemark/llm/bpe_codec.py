@@ -14,7 +14,8 @@ from .common import blocks, over_batches, text_list
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, ids`` (array of int) for each row; a null text counts as empty, an empty one has no ids."""
+    """``doc_id, ids`` (array of int) for each row, repeated rows each on their own; a null text counts as empty, an empty one has no ids, an
+    empty table gives no rows. Other columns play no part."""
 
     def start():
         encoder = TextEncoder(tokenizer, automaton=True)
@@ -39,7 +40,7 @@ def decode_ids(ids: np.ndarray, labels: list[str]) -> str:
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; null ids give the empty text."""
+    """``doc_id, text`` from ``doc_id, ids``, a row for each; null ids give the empty text, an empty table no rows."""
 
     def start():
         labels = vocabulary(tokenizer).labels
@@ -56,7 +57,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes each text in one
-    pass and keeps only digests, so that ids are never stored."""
+    pass and keeps only digests, so that ids are never stored. A null text counts as empty; repeated rows each have theirs; an empty table
+    gives no rows; other columns play no part."""
 
     def start():
         encoder = TextEncoder(tokenizer, automaton=True)

@@ -27,7 +27,8 @@ RANK_PARTS, PART_ROWS = 128, 500_000
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, width: int = 1024) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids with ``end_id``
-    after them, cut every ``width`` ids. A null or empty text has the end id alone."""
+    after them, cut every ``width`` ids. A null or empty text has the end id alone; repeated
+    rows are cut each on their own; an empty table gives no pieces."""
 
     def start():
         encoder = TextEncoder(tokenizer)
@@ -117,5 +118,5 @@ def pack(cut: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int = 1024) -> DataFrame:
-    """Cuts and packs whole documents; see :func:`pieces` and :func:`pack`."""
+    """Cuts and packs whole documents, repeated rows each on their own; an empty table gives no rows. See :func:`pieces` and :func:`pack`."""
     return pack(saved(pieces(docs, tokenizer, end_id, width)), width)

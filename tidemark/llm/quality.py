@@ -198,7 +198,8 @@ def score(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.8) -> Data
 
 
 def selected(docs: DataFrame, model: Ordinal | None, min_tail: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` keeps, with all columns and without a join."""
+    """The rows of ``docs`` that :func:`score` keeps, with all columns and without a join: no text without words (null, empty), repeated rows alike,
+    all without a model; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

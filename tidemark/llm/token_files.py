@@ -92,7 +92,8 @@ SCHEMA = "part long, segment long, doc_ids array<long>, sizes array<int>, block_
 
 
 def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """One row a segment. Rows of equal doc_id stand in order of their text; a null doc_id comes first."""
+    """One row a segment. Rows of equal doc_id stand in order of their text, repeated rows each once; a null doc_id comes first; a null text
+    counts as empty and has the end id alone; an empty table gives no segments."""
     tasks = input_tasks(docs.sparkSession, docs)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed = placed.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
@@ -162,7 +163,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes ``docs`` into a new folder below ``spark.checkpoint.dir`` and reads it back."""
+    """Empty tables give no rows, repeated rows one each. Writes ``docs`` into a new folder below ``spark.checkpoint.dir`` and reads it back."""
     spark = docs.sparkSession
     saved(spark.range(1))  # makes sure that a shared folder is set
     path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
