@@ -49,6 +49,8 @@ LEADER_PARTS, LEADER_KEYS = 16, 50_000
 COUNT_ROWS = 256
 #: Keys that a task remembers to have sent.
 SENT_KEYS = 500_000
+#: Most bits of the filter of candidates' keys (16 MB); it is sparse up to some 30 million candidates.
+MEMBER_BITS = 27
 #: More clashing keys than any corpus can have by chance end the run with an error.
 MOST_CLASHES = 100_000
 
@@ -274,7 +276,8 @@ def over_tokens(rows: DataFrame, of: dict[str, Column], split: bool) -> DataFram
 
 def _bodies(docs: DataFrame, words: int, wanted: DataFrame, clashes: dict[bytes, int]) -> DataFrame:
     """``key, body`` (compressed text) of the sets whose keys are ``wanted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Members(wanted))  # of fixed size
+    bits = min(MEMBER_BITS, max(21, (8 * wanted.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(Members(wanted, bits=bits))
 
     def rows_of(key: int, _: np.ndarray, text: bytes):
         if shared.value.may_hold(key):
