@@ -387,6 +387,20 @@ def test_tree_loses_no_pair():
     assert {tuple(sorted(p)) for p in linked} <= got and len(got) < len(sets) ** 2 / 8
 
 
+def test_components_with_hubs(spark):
+    """A key linked with most others, cut at run time into parts, and a chain."""
+    links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(2999, 5020)]
+    names = {"skewJoin.skewedPartitionFactor": "1", "skewJoin.skewedPartitionThresholdInBytes": "1KB", "advisoryPartitionSizeInBytes": "1KB", "autoBroadcastJoinThreshold": "-1"}
+    for k, v in names.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        out = dict(jaccard.components(spark.createDataFrame(links, "leader long, key long")).collect())
+    finally:
+        for k in names:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    assert out == dict.fromkeys([*range(3000), *range(5000, 5041)], 0)
+
+
 def test_no_near_duplicates(none):
     assert jaccard.near_duplicates(none).count() == 0
 

@@ -326,7 +326,8 @@ def components(links: DataFrame) -> DataFrame:
     """``key, component`` (the smallest key reachable) for each key of the links (``leader, key``)."""
 
     def smallest(sides: DataFrame) -> DataFrame:
-        return sides.join(sides.groupBy("a").agg(F.min("b").alias("m")), "a")
+        # the small side is dealt anew, so that the join exchanges both sides by itself and a hub's edges can be split at run time
+        return sides.join(sides.groupBy("a").agg(F.min("b").alias("m")).repartition("a", "m"), "a")
 
     edges = saved(links.select(F.greatest("leader", "key").alias("a"), F.least("leader", "key").alias("b")).where("a <> b").distinct())
     before = None
