@@ -387,6 +387,36 @@ def test_tree_loses_no_pair():
     assert {tuple(sorted(p)) for p in linked} <= got and len(got) < len(sets) ** 2 / 8
 
 
+def test_blocks_pair_all_that_may_link(spark, monkeypatch):
+    """Any two rows of a group that may link meet in one pair of blocks; a large component beside few others is not repeated for itself."""
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 20)
+    rng = np.random.default_rng(7)
+    rows = [(1, k, int(rng.integers(2, 400)), int(rng.integers(0, 30))) for k in range(300)] + [(2, 1000 + k, 50, 7) for k in range(400)]
+    rows += [(2, 2000, 50, 8), (2, 2001, 66, 9), (2, 2002, 5000, 10), (3, 3000, 5, 1), (3, 3001, 6, 2)]
+    out = jaccard._in_blocks(spark.createDataFrame(rows, "token long, key long, n long, component long"), 75).collect()
+    held = {}
+    for r in out:
+        assert r.block in (r.i, r.j)
+        held.setdefault((r.token, r.i, r.j), []).append(r)
+    met = {}
+    for own in held.values():
+        for a in own:
+            for b in own:
+                if a.key < b.key and (a.i == a.j or a.block != b.block):
+                    met[a.token, a.key, b.key] = met.get((a.token, a.key, b.key), 0) + 1
+    may = {(t, a, b) for t, a, n, c in rows for u, b, m, d in rows if t == u and a < b and c != d and 100 * min(n, m) >= 75 * max(n, m)}
+    assert may <= met.keys() and max(met.values()) == 1
+    assert sum(r.token == 2 for r in out) < 2 * 400 + 100 and max(len(x) for x in held.values()) < 100
+
+
+@pytest.mark.parametrize("percent", [50, 75, 80, 100])
+def test_size_classes(percent):
+    bounds = np.array(jaccard.size_bounds(percent))
+    for n in range(1, 3000):
+        most = n * 100 // percent
+        assert np.searchsorted(bounds, most, "right") - np.searchsorted(bounds, n, "right") <= 1
+
+
 def test_components_with_hubs(spark):
     """A key linked with most others, cut at run time into parts, and a chain."""
     links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(2999, 5020)]

@@ -39,7 +39,7 @@ BITMAP_BITS = 2048
 LEAF, FAN = 48, 8
 #: Prefixes are longer by one in so many shingles, and linked sets then share as many shingles of both prefixes.
 SHARED = 16
-#: Rows of a prefix group that one task compares; larger groups are compared by pairs of blocks.
+#: Rows of a prefix group that one task compares; larger groups are compared by pairs of blocks that may hold links.
 GROUP_ROWS = 2_000
 #: A shingle of more documents than 2**SPLIT_BITS (by its bucket) is dealt into parts of about as many.
 SPLIT_BITS = 16
@@ -445,13 +445,51 @@ def _bitmaps(bodies: DataFrame, words: int) -> DataFrame:
     return bodies.mapInArrow(over_batches(start), "key long, bits binary")
 
 
+def size_bounds(percent: int) -> list[int]:
+    """First sizes of classes so wide that two sets whose classes are not the same or neighbours cannot link."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // min(percent, 75) + 1)
+    return out
+
+
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """``token, i, j, block, key, n, component``: each row once for each pair of blocks ``(i, j)`` that its own ``block`` is in.
+
+    A group of up to ``GROUP_ROWS`` rows is one block. The rows of a larger one are dealt by class of size, and within a class
+    a component of more than ``GROUP_ROWS`` rows has blocks to itself. Blocks of one component, or of sizes too far
+    apart, are never paired, so that a large component beside few other rows costs as much as its rows.
+    """
+    # saved tables: each join has plain exchanges on both sides, so that a large group's rows can be split at run time
+    large = saved(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS).select("token"))
+    zero, columns = F.lit(0).cast("long"), ["token", "i", "j", "block", "key", "n", "component"]
+    if large.isEmpty():
+        return rows.select("token", zero.alias("i"), zero.alias("j"), zero.alias("block"), "key", "n", "component")
+    few = rows.join(large, "token", "left_anti").select("token", zero.alias("i"), zero.alias("j"), zero.alias("block"), "key", "n", "component")
+    bounds = F.array(*(F.lit(x).cast("long") for x in size_bounds(percent)))
+    many = rows.join(large, "token", "left_semi").withColumn("class", F.size(F.filter(bounds, lambda x: x <= F.col("n"))))
+    cells = saved(many.groupBy("token", "class", "component").agg(F.count("*").alias("rows")))
+    # a component with rows enough has a unit of its own (``home``), the others of a class are one unit
+    apart = F.col("rows") > GROUP_ROWS
+    homes = saved(cells.where(apart).select("token", "class", "component", F.lit(True).alias("own")))
+    units = cells.groupBy("token", "class", apart.alias("own"), F.when(apart, F.col("component")).otherwise(zero).alias("home")).agg(F.sum("rows").alias("rows"))
+    units = units.withColumn("blocks", F.ceil(F.col("rows") / GROUP_ROWS).cast("long"))
+    before = Window.partitionBy("token").orderBy("class", "own", "home").rowsBetween(Window.unboundedPreceding, -1)  # a row for each unit
+    units = saved(units.select("token", "class", "own", "home", "blocks", F.coalesce(F.sum("blocks").over(before), zero).alias("start")))
+    other = units.select("token", *(F.col(c).alias(f"{c}_2") for c in ("class", "own", "home", "blocks", "start")))
+    met = (F.abs(F.col("class") - F.col("class_2")) <= 1) & ~(F.col("own") & F.col("own_2") & (F.col("home") == F.col("home_2")))
+    partners = saved(units.join(other, "token").where(met).select("token", "class", "own", "home", "blocks", "start", "blocks_2", "start_2"))
+    many = many.join(homes, ["token", "class", "component"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    many = many.withColumn("home", F.when(F.col("own"), F.col("component")).otherwise(zero)).join(partners, ["token", "class", "own", "home"])
+    many = many.withColumn("block", F.col("start") + F.pmod(F.xxhash64("key"), F.col("blocks")))
+    many = many.withColumn("with", F.explode(F.sequence(F.col("start_2"), F.col("start_2") + F.col("blocks_2") - 1)))
+    many = many.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    return few.select(columns).unionByName(many.select(columns))
+
+
 def _tree_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """``leader, key`` of pairs from the groups (``token, key, n, component``) that pass the signature trees."""
-    # saved, so that the join has a plain exchange on both sides and a large group's rows can be split at run time
-    large = saved(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS))
-    dealt = rows.join(large, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / GROUP_ROWS).cast("int"), F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "n", "component")
+    dealt = _in_blocks(rows, percent)
     met = dealt.join(bitmaps, "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
