@@ -47,6 +47,8 @@ class Fingerprinter:
 
 #: Clashing hashes, and texts with such hashes, that may go to the driver.
 MOST_SHARED = 10_000
+#: Most bits of the filter of repeated hashes (16 MB); it is sparse up to some 30 million of them.
+MEMBER_BITS = 27
 
 
 def _key(digest: str) -> int:
@@ -79,7 +81,7 @@ def shared_digests(docs: DataFrame, keys: DataFrame, bits: int = 128) -> dict[st
     n = repeated.count()
     if not n:
         return {}
-    shared = docs.sparkSession.sparkContext.broadcast(Members(repeated, bits=min(25, max(21, (8 * n).bit_length()))))  # 4 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(Members(repeated, bits=min(MEMBER_BITS, max(21, (8 * n).bit_length()))))
 
     def bodies_of():
         small = zstandard.ZstdCompressor(level=3)
