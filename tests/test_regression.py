@@ -160,3 +160,32 @@ def test_c3_finds_enrichment_and_leaves_the_null(spark):
     r = c3(spark, ilp_diary(spark, 8, 1, 4))
     assert r.label_D_C3_exploratory is True and r.d_c3_rr >= 1.62 and r.d_c3_reason is None
     assert c3(spark, ilp_diary(spark, 8, 1, 1)).label_D_C3_exploratory is False
+
+
+def test_windows_fitted_side_by_side_equal_single_fits():
+    rng, cells, alphas, cycles = np.random.default_rng(1), [], [], 0
+    for w in range(200):
+        alphas.append(float(rng.choice([0.001, 0.3, 1.0, 5.0, -1.0])))
+        mean = rng.choice([0.02, 0.1, 1.0])
+        for _ in range(int(rng.integers(4, 40))):
+            for g in range(3):
+                n = int(rng.integers(3, 14))
+                if rng.random() < 0.9:
+                    cells.append((w, cycles, g, n, int(rng.poisson(mean * n))))
+            cycles += 1
+        # cycles of one phase group each tell nothing of the others: to be fitted alone
+    cells += [(200, cycles + i, i % 3, 9, 5) for i in range(6)]
+    alphas.append(0.3)
+    w, c, g, n, e = (np.array(x) for x in zip(*cells, strict=True))
+    beta, error, alone = G._side_by_side(w, c, g, n, e, np.array(alphas))
+    assert alone[200] and 0 < alone.sum() < 100
+    for i in np.flatnonzero(~alone):
+        at = w == i
+        for k, (b, s) in enumerate(G.fit_cells(c[at], g[at], n[at], e[at], alphas[i])):
+            assert np.isnan(beta[i, k]) if b is None else (beta[i, k], error[i, k]) == pytest.approx((b, s), abs=1e-8)
+
+
+def test_dispersion_where_variance_equals_mean(spark):
+    # 81 events on 1,080 days with 87 as sum of squares: variance and mean are equal, so there is no overdispersion
+    got = spark.createDataFrame([(1080, 81, 87), (1080, 1, 1), (1080, 81, 89)], "n long, s long, q long").select(X.nb_alpha("n", "s", "q").alias("a")).collect()
+    assert [r.a for r in got[:2]] == [1.0, 1.0] and got[2].a == pytest.approx((1080 * 89 - 81**2 - 81 * 1079) * 1080 / (1079 * 81**2))
