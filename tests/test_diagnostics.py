@@ -30,6 +30,14 @@ def test_ratio_audit(spark):
     }
 
 
+def test_ratio_audit_of_every_window(spark):
+    rows = [("population", "strict_herzog", "cycle", "3", 1.69, 1.0, 2.0, True), ("population", "modified_short_cycle", "full", "full_diary", INF, None, 2.0, False), ("healthy_ovulatory", "strict_herzog", "calendar", "6", 1.0, INF, None, False)]
+    df = spark.createDataFrame(rows, "cohort string, phase_mode string, window_type string, window_value string, rr_C1 double, rr_C2 double, rr_C3 double, c3_applicable_flag boolean")
+    got = {(r.phase_mode, r.window_type, r.cohort, r.pattern): (r.n_finite, r.n_infinite, r.n_undefined, r.n_not_applicable) for r in Z.ratio_audit(df, every=True).collect()}
+    assert len(got) == 9 and all(sum(v) == 1 for v in got.values())
+    assert got["modified_short_cycle", "full", "population", "C1"] == (0, 1, 0, 0) and got["modified_short_cycle", "full", "population", "C3"] == (0, 0, 0, 1) and got["strict_herzog", "cycle", "population", "C3"] == (1, 0, 0, 0)
+
+
 def test_stacked_composition(spark):
     rows = [("a", "strict_herzog", "full", "C1 only", None), ("a", "strict_herzog", "full", None, None), ("a", "strict_herzog", "full", "none", "none"), ("a", "strict_herzog", "calendar", "none", "none"), ("a", "modified_short_cycle", "full", "none", "none")]
     df = spark.createDataFrame(rows, "cohort string, phase_mode string, window_type string, label_A_windowed_pattern_category string, label_B_pattern_category string")
