@@ -1,5 +1,7 @@
 """The shared diary: whole participants in buckets, so that nothing of a day is shuffled again, and runs of cycles without reading days twice."""
 
+import gzip
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from tidemark.operators import diary as D
 from tidemark.operators import windows as W
 from tidemark.plans import diary as P
 from tidemark.plans import tables as T
+from tidemark.sources import io
 
 DIR = "/root/testdata/sf0.001"
 
@@ -41,3 +44,16 @@ def test_runs_of_ids_that_come_again_interleave_or_repeat(spark):
     got = D.complete_cycles(df)
     runs = D.cycle_runs(df).groupBy("participant_id", "cycle_id", "cycle_run").agg(F.count("*").alias("n_days"), F.min("calendar_day_index").alias("first_day"), F.max("calendar_day_index").alias("last_day"))
     assert sorted(map(str, got.select(runs.columns).collect())) == sorted(map(str, runs.collect()))
+
+
+def test_nested_documents_shuffle_no_days_and_are_compressed(spark, tmp_path):
+    days = T.daily(spark, DIR).select("participant_id", F.col("calendar_day_index").alias("day_index"), "seizure_count")
+    people = days.select("participant_id").distinct()
+    assert "Exchange hashpartitioning" not in plan(io.nested(people, days, "participant_id"))
+    io.write_nested_json(people, days, str(tmp_path), "participant_id")
+    files = [f for f in tmp_path.iterdir() if f.name.startswith("part-")]
+    assert all(f.name.endswith(".json.gz") for f in files)
+    got = [json.loads(line) for f in files for line in gzip.open(f, "rt")]
+    rows = sorted((int(g["patient_id"]), d["day_index"], d["seizure_count"]) for g in got for d in g["diary"])
+    assert len(got) == people.count() and rows == sorted(map(tuple, days.collect()))
+    assert all([d["day_index"] for d in g["diary"]] == list(range(1, len(g["diary"]) + 1)) for g in got)

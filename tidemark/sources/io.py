@@ -38,8 +38,11 @@ def nested(profiles: DataFrame, diary: DataFrame, key: str = "patient_id") -> Da
     return profiles.join(days, key, "left")
 
 
-def write_nested_json(profiles: DataFrame, diary: DataFrame, path: str) -> None:
-    nested(profiles, diary).write.mode("overwrite").json(path)
+def write_nested_json(profiles: DataFrame, diary: DataFrame, path: str, key: str = "patient_id") -> None:
+    """A document a person, as lines of gzip-compressed JSON (names repeat on each day, so plain text is some twenty times as large). ``key`` is written as ``patient_id``, a text."""
+    people = nested(profiles, diary, key)
+    rest = [c for c in people.columns if c != key]
+    people.select(F.col(key).cast("string").alias("patient_id"), *rest).write.mode("overwrite").json(path, compression="gzip")
 
 
 def write_outputs(tables: dict[str, DataFrame], summary: DataFrame, path: str, partition: str = "cohort") -> None:
