@@ -1,9 +1,12 @@
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
+from tidemark.llm.common import saved
 
 DIR = "/root/testdata/sf0.001"
 
@@ -51,3 +54,21 @@ def test_repeated_rows_and_empty_table(spark):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert [sum(k.startswith(f"op{i}_") for k in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_saved_steps_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        got = files.getAllFiles()
+        names = (got.apply(i).getName() for i in range(got.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    rows = spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffles()
+    out = saved(rows.join(spark.range(100).repartition(5, "id").withColumnRenamed("id", "k"), "k"))
+    end = time.time() + 20  # files go beside the job
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert out.count() == 100 and out.agg(F.sum("n")).first()[0] == 20_000

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Members, blocks, over_batches, saved
+from .common import Members, blocks, over_batches, released, saved
 
 #: Hash buckets whose document counts order the shingles, and the parts in which they are summed.
 BUCKET_BITS, SLICES = 20, 64
@@ -337,7 +337,8 @@ def components(links: DataFrame) -> DataFrame:
         near = smallest(large)
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = saved(small)
-        state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        with released(edges.sparkSession):
+            state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if state == before:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())
         before = state
