@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import definitions as X
 from tidemark.operators import diary as D
 from tidemark.operators import windows as W
 from tidemark.plans import diary as P
@@ -57,3 +58,23 @@ def test_nested_documents_shuffle_no_days_and_are_compressed(spark, tmp_path):
     rows = sorted((int(g["patient_id"]), d["day_index"], d["seizure_count"]) for g in got for d in g["diary"])
     assert len(got) == people.count() and rows == sorted(map(tuple, days.collect()))
     assert all([d["day_index"] for d in g["diary"]] == list(range(1, len(g["diary"]) + 1)) for g in got)
+
+
+def test_labels_of_cycles_and_spans_are_made_once_for_windows_and_study_pool(spark):
+    before = {k: spark.conf.get(k) for k in T.WRITING}
+    T.forget()
+    T.classified(spark, DIR), T.pool(spark, DIR)
+    names = [k[3] for k in T._written]
+    assert names.count("cycle_labels") == names.count("spans") == 1
+    assert {k: spark.conf.get(k) for k in T.WRITING} == before
+    strict = X.cycle_labels(D.fan_out_phase_modes(T.daily(spark, DIR), ("strict_herzog",)))
+    own = T.cycle_labels(spark, DIR).where("phase_mode = 'strict_herzog'").select(strict.columns)
+    assert own.count() > 0 and own.exceptAll(strict).isEmpty() and strict.exceptAll(own).isEmpty()
+
+
+def test_modes_of_a_cohort_are_constants(spark):
+    days = T.daily(spark, DIR)
+    assert "transform" not in plan(D.fan_out_phase_modes(days))
+    rows = spark.createDataFrame([("population",), ("healthy_ovulatory",), (None,)], "cohort string")
+    got = {(r.cohort, r.phase_mode) for r in D.cohort_modes(rows, ("strict_herzog", "modified_short_cycle")).collect()}
+    assert got == {("population", "strict_herzog"), ("population", "modified_short_cycle"), ("healthy_ovulatory", "strict_herzog"), (None, "strict_herzog"), (None, "modified_short_cycle")}
