@@ -58,3 +58,11 @@ def test_no_task_collects_a_group(spark):
     df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.sqrt("id").alias("v"))
     plan = quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().toString()
     assert "percentile" not in plan and "collect_list(_v" not in plan
+
+
+def test_the_second_pass_works_out_no_ranges(spark):
+    df = spark.range(2_000).select((F.col("id") % 2).alias("k"), F.sqrt("id").alias("v"))
+    plan = quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LOG2(" in line for line in plan.splitlines()) == 1
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (0.0,), (1.0,)], "v double")
+    assert list(quantiles(zeros, [], "v", [0.0, 1.0]).first().quantiles) == [0.0, 1.0]
