@@ -6,8 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators import definitions as X
 from tidemark.operators import diary as D
+from tidemark.operators import glm as G
 from tidemark.operators import windows as W
 from tidemark.plans import diary as P
 from tidemark.plans import tables as T
@@ -78,3 +80,15 @@ def test_modes_of_a_cohort_are_constants(spark):
     rows = spark.createDataFrame([("population",), ("healthy_ovulatory",), (None,)], "cohort string")
     got = {(r.cohort, r.phase_mode) for r in D.cohort_modes(rows, ("strict_herzog", "modified_short_cycle")).collect()}
     assert got == {("population", "strict_herzog"), ("population", "modified_short_cycle"), ("healthy_ovulatory", "strict_herzog"), (None, "strict_herzog"), (None, "modified_short_cycle")}
+
+
+def told(df):
+    return sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_definition_d_of_two_kinds_of_windows_classifies_no_others(spark, monkeypatch):
+    monkeypatch.setattr(T, "_written", {})
+    got = told(entry.queries()["label_D_window_alpha"](spark, DIR))
+    assert not {"classified", "windows", "cycles", "cycle_labels"} & {k[-1] for k in T._written}
+    some = T.windows(spark, DIR).where("window_type = 'full' or (window_type = 'calendar' and window_value = '12')")
+    assert got == told(G.label_d(T.labelled(spark, DIR), some, T.classified(spark, DIR), T.alphas(spark, DIR), both=True))
