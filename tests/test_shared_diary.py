@@ -92,3 +92,18 @@ def test_definition_d_of_two_kinds_of_windows_classifies_no_others(spark, monkey
     assert not {"classified", "windows", "cycles", "cycle_labels"} & {k[-1] for k in T._written}
     some = T.windows(spark, DIR).where("window_type = 'full' or (window_type = 'calendar' and window_value = '12')")
     assert got == told(G.label_d(T.labelled(spark, DIR), some, T.classified(spark, DIR), T.alphas(spark, DIR), both=True))
+
+
+def test_ratios_of_pooled_windows_need_no_labels_of_cycles_or_definitions(spark, monkeypatch):
+    got = entry.queries()["finite_or_null"]
+    monkeypatch.setattr(T, "_written", {})
+    rows = got(spark, DIR).count()
+    assert not {"classified", "cycle_labels", "participants"} & {k[-1] for k in T._written}
+    assert rows == T.windows(spark, DIR).join(D.cohort_modes(T.windows(spark, DIR)), "cohort").count()
+
+
+def test_labels_of_cycles_are_made_before_days_are_copied_for_the_modes(spark):
+    days = T.daily(spark, DIR)
+    got = X.cycle_labels_by_mode(days)
+    assert plan(got).index("explode") < plan(got).index("HashAggregate", plan(got).index("explode"))  # from the top: copies come after a sum of days
+    assert told(got) == told(X.cycle_labels(D.fan_out_phase_modes(days)))
