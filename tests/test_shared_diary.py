@@ -107,3 +107,9 @@ def test_labels_of_cycles_are_made_before_days_are_copied_for_the_modes(spark):
     got = X.cycle_labels_by_mode(days)
     assert plan(got).index("explode") < plan(got).index("HashAggregate", plan(got).index("explode"))  # from the top: copies come after a sum of days
     assert told(got) == told(X.cycle_labels(D.fan_out_phase_modes(days)))
+
+
+def test_cycles_are_neither_broadcast_to_the_days_nor_shuffled(spark):
+    text = plan(D.enrich_daily(T.daily(spark, DIR), P.cycles(spark, DIR, P.partitions(spark, DIR))))
+    assert "Broadcast" not in text.replace("Subquery", "").split("ShuffledHashJoin")[0] and "ShuffledHashJoin" in text
+    assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in text  # the participants
