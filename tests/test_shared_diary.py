@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from tidemark.operators import definitions as X
 from tidemark.operators import diary as D
 from tidemark.operators import glm as G
+from tidemark.operators import resample as R
 from tidemark.operators import windows as W
 from tidemark.plans import diary as P
 from tidemark.plans import tables as T
@@ -113,3 +114,10 @@ def test_cycles_are_neither_broadcast_to_the_days_nor_shuffled(spark):
     text = plan(D.enrich_daily(T.daily(spark, DIR), P.cycles(spark, DIR, P.partitions(spark, DIR))))
     assert "Broadcast" not in text.replace("Subquery", "").split("ShuffledHashJoin")[0] and "ShuffledHashJoin" in text
     assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in text  # the participants
+
+
+def test_bootstrap_neither_broadcasts_nor_sorts_its_draws(spark):
+    parts = {"e": F.col("seizure_count"), "d": F.lit(1)}
+    text = plan(R.bootstrap_by_participant(T.daily(spark, DIR), parts, F.col("e") / F.col("d"), n=1000))
+    join = next(line for line in text.splitlines() if "Join" in line and "rank" in line)
+    assert "ShuffledHashJoin" in join and "BuildRight" in join
