@@ -13,6 +13,7 @@ from tidemark.operators import glm as G
 from tidemark.operators import resample as R
 from tidemark.operators import windows as W
 from tidemark.plans import diary as P
+from tidemark.plans import queries as Q
 from tidemark.plans import tables as T
 from tidemark.sources import io
 
@@ -121,3 +122,14 @@ def test_bootstrap_neither_broadcasts_nor_sorts_its_draws(spark):
     text = plan(R.bootstrap_by_participant(T.daily(spark, DIR), parts, F.col("e") / F.col("d"), n=1000))
     join = next(line for line in text.splitlines() if "Join" in line and "rank" in line)
     assert "ShuffledHashJoin" in join and "BuildRight" in join
+
+
+def test_days_of_whole_cycles_are_neither_shuffled_nor_joined_by_a_broadcast_or_hashed_for_each_share(spark):
+    for share in (None, 0.25):
+        text = plan(Q._whole_ovulatory(spark, DIR, share))
+        assert "Broadcast" not in text and "ShuffledHashJoin" in text and text.count("Exchange hashpartitioning") == 1 and "sha2" not in text
+    want = T.cycle_table(spark, DIR).where("complete_cycle_flag").select("participant_id", "cycle_id")
+    days = T.daily(spark, DIR).where("ovulatory_flag").join(want, ["participant_id", "cycle_id"], "left_semi")
+    for share in (None, 0.25, 1.0):
+        few = days if share is None else days.where(T.at() < share)
+        assert told(Q._whole_ovulatory(spark, DIR, share).select(days.columns)) == told(few)

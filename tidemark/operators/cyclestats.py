@@ -201,9 +201,10 @@ def cycle_waveforms(daily: DataFrame) -> DataFrame:
 WAVEFORMS = ["estradiol_peak_days", "estradiol_secondary_ratio", "progesterone_plateau_days", "progesterone_peak_offset", "progesterone_rise_offset", "progesterone_withdrawal_days", "progesterone_terminal_ratio", "progesterone_cycle_jump"]
 
 
-def waveform_metrics(spark: SparkSession, daily: DataFrame) -> DataFrame:
-    """Medians of the shape figures, with the progesterone step to the next complete cycle, against their bounds."""
-    shapes = cycle_waveforms(daily)
+def waveform_metrics(spark: SparkSession, daily: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Medians of the shape figures, with the progesterone step to the next complete cycle, against their bounds. ``shapes`` are the
+    :func:`cycle_waveforms` of ``daily``, where these are there already."""
+    shapes = cycle_waveforms(daily) if shapes is None else shapes
     by = Window.partitionBy("participant_id").orderBy("cycle_id")
     jump = F.when(F.lead("cycle_id").over(by) == F.col("cycle_id") + 1, F.abs(F.lead("first_p4").over(by) - F.col("last_p4")))
     pairs = ", ".join(f"'{name}', cast({m} as double)" for name, m in zip(WAVEFORM_TARGETS, WAVEFORMS, strict=True))
@@ -212,9 +213,9 @@ def waveform_metrics(spark: SparkSession, daily: DataFrame) -> DataFrame:
     return metric_gate(spark, obs, [(k, "waveform", *v, CITED["waveform"]) for k, v in WAVEFORM_TARGETS.items()])
 
 
-def baseline_metrics(spark: SparkSession, cycles: DataFrame, whole_ovulatory: DataFrame) -> DataFrame:
+def baseline_metrics(spark: SparkSession, cycles: DataFrame, whole_ovulatory: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """All checks of a population: cycles by age, overall, hormones and external."""
-    parts = [age_band_metrics(spark, cycles), overall_metrics(spark, cycles), subphase_medians(spark, whole_ovulatory), waveform_metrics(spark, whole_ovulatory), external_metrics(spark, cycles)]
+    parts = [age_band_metrics(spark, cycles), overall_metrics(spark, cycles), subphase_medians(spark, whole_ovulatory), waveform_metrics(spark, whole_ovulatory, shapes), external_metrics(spark, cycles)]
     return reduce(DataFrame.unionByName, parts)
 
 
