@@ -124,3 +124,16 @@ def test_nothing(spark, net):
     assert secret_scan.fit(none) is None
     assert secret_scan.find_secrets(none, net).collect() == []
     assert secret_scan.fit(spark.createDataFrame([(1, "no secret here"), (2, None)], "doc_id long, text string")) is None
+
+
+def test_the_network_learns_from_all_candidates(spark, rng, monkeypatch):
+    texts = [f'a token = "{"".join(rng.choices("0123456789abcdef", k=40))}" {i:016d} {"w" * 300}{i}' for i in range(4_500)]
+    got = secret_scan.labelled(spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string").repartition(8))
+    assert {r.secret: r["count"] for r in got.groupBy("secret").count().collect()} == {True: 4_500, False: 9_000}
+    assert got.where("not secret and b - a > 300").count() == 4_500  # long ones whole
+    some = got.where("secret").limit(100).unionByName(got.where("not secret").limit(300))
+    windows, label = secret_scan._windows(some.selectExpr("*", "xxhash64(seen, a, b) as dealt").toPandas())
+    seen = []
+    monkeypatch.setattr(secret_scan.Network, "step", lambda net, w, y, *more: seen.append(int((y == 0).sum())))
+    secret_scan._learn(secret_scan._packed(secret_scan.Network.fresh(np.random.default_rng(7)), {}), windows, label, 0, np.random.default_rng(1), 0.01)
+    assert sum(seen) == 300 and len(seen) > 1
